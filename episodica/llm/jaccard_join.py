@@ -30,7 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -226,6 +226,22 @@ def shared_entries(blobs: DataFrame) -> DataFrame:
     return by_bucket(blobs, "token long, rep long", work)
 
 
+def may_link(x: str, y: str) -> Column:
+    """Whether a set of block x may link with one of block y, by the tokens that the unions of their prefixes share.
+
+    Two sets of n and m share DEPTH tokens of their prefixes (or all that they must). Of the two prefixes one ends
+    first in the common order: up to there all that the sets share is counted, and beyond it the set has 0.75 n + 1 -
+    DEPTH tokens at most. Linked sets share 3/7 (n + m) tokens, where m is at least 0.75 n.
+    """
+    shared, low, high = F.col("shared"), (lambda s: F.col(f"{s}l")), (lambda s: F.col(f"{s}h"))
+    need = F.least(F.lit(DEPTH), F.ceil(F.greatest(low(x), low(y)) * 3 / 4))
+
+    def reach(q: str, g: str) -> Column:
+        return shared + F.greatest(high(q) * 0.75 + 1 - DEPTH, F.lit(0.0)) >= (high(q) + F.greatest(low(g), high(q) * 0.75)) * 3 / 7 - 1e-6
+
+    return (shared >= need) & (reach(x, y) | reach(y, x))
+
+
 def block_pairs(cells_of: DataFrame) -> DataFrame:
     """(token, root, block, low, high) -> (x, y, shared): pairs of blocks of different groups that share tokens.
 
@@ -359,11 +375,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # Few tokens lead out of a group: only those go on.
     cells_of = scratch.table(cells_of)
     cells_of = cells_of.join(cells_of.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token"), "token", "left_semi")
-    least = info.groupBy("block").agg(F.min("n").alias("n"), F.first("root").alias("root"))
-    pairs = block_pairs(cells_of).groupBy("x", "y").agg(F.sum("shared").alias("shared"))
-    pairs = pairs.join(least.select(F.col("block").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr")), "x").join(least.select(F.col("block").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr")), "y")
-    need = F.least(F.lit(DEPTH), F.ceil(F.greatest("xn", "yn") * 3 / 4))
-    pairs = scratch.table(pairs.where(F.col("shared") >= need).select("x", "y", "xr", "yr", "shared"))
+    sizes = info.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.first("root").alias("root"))
+    side = lambda c: sizes.select(F.col("block").alias(c), F.col("low").alias(f"{c}l"), F.col("high").alias(f"{c}h"), F.col("root").alias(f"{c}r"))
+    pairs = block_pairs(cells_of).groupBy("x", "y").agg(F.sum("shared").alias("shared")).join(side("x"), "x").join(side("y"), "y")
+    pairs = scratch.table(pairs.where(may_link("x", "y")).select("x", "y", "xr", "yr", "shared"))
 
     # Open: first the likeliest partner of each block, then all that is left between groups still apart.
     found = links
