@@ -93,7 +93,10 @@ class Encoder:
                         if x and x not in kept:
                             cores[x] = b""
         if cores:
-            cores.update(zip(cores, self.library([x.decode() for x in cores]), strict=True))
+            plain = [x for x in cores if x.isalpha() and x.islower()]  # one word of ASCII letters: the model alone decides
+            cores.update((x, np.array([t.id for t in self.coder.model.tokenize(x.decode())], "<u4").tobytes()) for x in plain)
+            other = [x for x, ids in cores.items() if not ids]
+            cores.update(zip(other, self.library([x.decode() for x in other]), strict=True))
             near = {**cores, b"": b""}
             ids = lambda x: near[x] if x in near else kept[x]
             new = {piece: ids(core) + ids(tail) for piece, (core, tail) in parts.items()}
