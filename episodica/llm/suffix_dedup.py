@@ -336,7 +336,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """One row a document: id_col (long), n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the rest."""
     spark = prepare(docs.sparkSession)
     scratch, parts = Scratch(spark, "suffixes"), partitions(spark)
-    n_buckets = 4 * parts
+    n_buckets = parts  # each bucket of documents asks each bucket of names: not more than partitions
     source = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     stats = scratch.table(source.select("id", F.octet_length("text").cast("long").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
     groups = stats.where("id is not null").groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
