@@ -356,7 +356,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     stars = keyed.join(heads, ["k", "key"]).where("rep <> head.rep and 3 * n <= 4 * head.n and 3 * head.n <= 4 * n")
     stars = scratch.table(stars.select(F.col("head.rep").alias("x"), F.col("head.s1").alias("xs"), F.col("rep").alias("y"), F.col("s1").alias("ys")).distinct())
     units = stars.select(F.col("x").alias("unit"), F.lit(0).alias("kind"), F.col("x").alias("id"), F.col("xs").alias("s1")).distinct()
-    units = units.union(stars.select("x", F.lit(1), "y", "ys"))
+    units = scratch.table(units.union(stars.select("x", F.lit(1), "y", "ys")))
     links = scratch.table(open_units(source, units))
     roots = scratch.table(components(links, scratch))
 
@@ -397,7 +397,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         unit = F.xxhash64("x", "y").alias("unit")
         queries = todo.join(inside.withColumnRenamed("block", "x"), "x").select(unit, F.lit(1).alias("kind"), F.col("rep").alias("id"), "s1")
         members = todo.join(inside.withColumnRenamed("block", "y"), "y").select(unit, F.lit(0).alias("kind"), F.col("rep").alias("id"), "s1")
-        more = scratch.table(open_units(source, members.union(queries)))
+        more = scratch.table(open_units(source, scratch.table(members.union(queries))))
         if not more.isEmpty():
             found = found.union(more)
             roots = scratch.table(components(found, scratch))
