@@ -8,7 +8,7 @@ hashes (with fewer words, the whole sequence). Sets link where 100 * intersectio
 2. Grouping: sets that share a min-hash key are held against the key's first set, exactly. Linked sets are a group;
    a large group is cut into blocks of about BLOCK sets.
 3. The matrix: of each set the first n - ceil(0.75 n) + DEPTH shingles, rare ones (by the sketch) first, are entries
-   (token, set); entries of tokens that only one set has are dropped where they meet, and the rest become
+   (token, set), and the first n - ceil(6/7 n) + DEPTH are marked as enough against sets that aren't smaller; entries of tokens that only one set has are dropped where they meet, and the rest become
    (token, block): each block's union of those tokens.
 4. Bound: linked sets share DEPTH of these tokens, or all that they must share if that is less. So only blocks of
    different groups that share as many, and whose sizes allow a link, stay candidates.
@@ -115,11 +115,17 @@ def ranks(sketches: DataFrame) -> np.ndarray:
 
 
 def prefix(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first tokens of a set in the common order, as 64-bit keys: five bits of rank, the rest of hash."""
+    """The first tokens of a set in the common order, as 64-bit keys: five bits of rank, the rest of hash.
+
+    The last bit marks the tokens that are enough where the other set isn't smaller: linked sets then share 6/7 of
+    this one. Where it is smaller, three quarters of this one are shared.
+    """
     n = len(tokens)
-    most = min(n, n - math.ceil(3 * n / 4) + DEPTH)
-    keys = rank[cells(tokens)].astype(U64) << U64(59) | (mix(tokens) >> U64(5))
-    return np.partition(keys, most - 1)[:most] if most < n else keys
+    most, few = (min(n, n - math.ceil(share * n) + DEPTH) for share in (3 / 4, 6 / 7))
+    keys = (rank[cells(tokens)].astype(U64) << U64(59) | (mix(tokens) >> U64(5))) & ~U64(1)
+    keys = np.partition(keys, [few - 1, most - 1])[:most]
+    keys[:few] |= U64(1)
+    return keys
 
 
 def id_map(ids: DataFrame) -> np.ndarray:
@@ -167,7 +173,7 @@ def entries(docs: DataFrame, rank: np.ndarray, n_buckets: int) -> DataFrame:
         def send():
             keys = np.concatenate([k for k, _ in gathered])
             ids = np.repeat(np.array([i for _, i in gathered], np.int64), [len(k) for k, _ in gathered])
-            bucket = (mix(keys) % U64(n_buckets)).astype(np.int64)
+            bucket = (mix(keys & ~U64(1)) % U64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             keys, ids, bucket = keys[order], ids[order], bucket[order]
             found, first = np.unique(bucket, return_index=True)
@@ -209,43 +215,49 @@ def by_bucket(blobs: DataFrame, schema: str, work) -> DataFrame:
 
 
 def shared_entries(blobs: DataFrame) -> DataFrame:
-    """(token, rep) of every token that several documents have."""
+    """(token, rep, few) of every token that several documents have."""
 
     def work(rows):
         keys = np.concatenate([np.frombuffer(r["tokens"], U64) for r in rows])
         ids = np.concatenate([unpack(r["ids"], np.int64) for r in rows])
         order = np.argsort(keys)
         keys, ids = keys[order], ids[order]
+        few, keys = (keys & U64(1)).astype(bool), keys & ~U64(1)
         same = np.zeros(len(keys) + 1, bool)
         same[1:-1] = keys[1:] == keys[:-1]
         keep = same[1:] | same[:-1]
-        keys, ids = keys[keep].view(np.int64), ids[keep]
+        keys, ids, few = keys[keep].view(np.int64), ids[keep], few[keep]
         for at in range(0, len(keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(ids[at : at + (1 << 16)])], ["token", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(ids[at : at + (1 << 16)]), pa.array(few[at : at + (1 << 16)])], ["token", "rep", "few"])
 
-    return by_bucket(blobs, "token long, rep long", work)
+    return by_bucket(blobs, "token long, rep long, few boolean", work)
 
 
 def may_link(x: str, y: str) -> Column:
     """Whether a set of block x may link with one of block y, by the tokens that the unions of their prefixes share.
 
-    Two sets of n and m share DEPTH tokens of their prefixes (or all that they must). Of the two prefixes one ends
-    first in the common order: up to there all that the sets share is counted, and beyond it the set has 0.75 n + 1 -
-    DEPTH tokens at most. Linked sets share 3/7 (n + m) tokens, where m is at least 0.75 n.
+    Two sets of n <= m tokens share DEPTH tokens of their prefixes (or all that they must). Of the two prefixes one ends
+    first in the common order: up to there all that the sets share is counted, and beyond it the smaller set has at
+    most 6/7 n + 1 - DEPTH tokens and the greater one 3/4 m + 1 - DEPTH. Linked sets share 3/7 (n + m) tokens.
     """
     shared, low, high = F.col("shared"), (lambda s: F.col(f"{s}l")), (lambda s: F.col(f"{s}h"))
     need = F.least(F.lit(DEPTH), F.ceil(F.greatest(low(x), low(y)) * 3 / 4))
+    have = shared + 1 - DEPTH + 1e-6
 
     def reach(q: str, g: str) -> Column:
-        return shared + F.greatest(high(q) * 0.75 + 1 - DEPTH, F.lit(0.0)) >= (high(q) + F.greatest(low(g), high(q) * 0.75)) * 3 / 7 - 1e-6
+        """With q the smaller set: its prefix ends first, or that of the greater set g does."""
+        first = have >= (F.greatest(low(g), low(q)) - F.least(high(q), high(g))) * 3 / 7
+        second = have + F.greatest(high(g) * 0.75, F.lit(DEPTH - 1.0)) >= (high(g) + F.greatest(low(q), high(g) * 0.75)) * 3 / 7
+        return first | second
 
-    return (shared >= need) & (reach(x, y) | reach(y, x))
+    tiny = F.least(high(x), high(y)) <= 7 * DEPTH  # a prefix may be the whole set
+    return (shared >= need) & (tiny | reach(x, y) | reach(y, x))
 
 
 def block_pairs(cells_of: DataFrame) -> DataFrame:
-    """(token, root, block, low, high) -> (x, y, shared): pairs of blocks of different groups that share tokens.
+    """(token, root, block, low, high, few) -> (x, y, shared): pairs of blocks of different groups that share tokens.
 
-    x is of the group with the greater root. low and high are the least and greatest set sizes of the block's entries.
+    x is of the group with the greater root. A token counts if it is one of the few of either. low and high are the least and greatest set sizes of the block's entries.
     """
     parts = partitions(cells_of.sparkSession)
 
@@ -259,9 +271,9 @@ def block_pairs(cells_of: DataFrame) -> DataFrame:
             return out
 
         def add(rows):
-            root, block, low, high = (np.array([r[j] for r in rows], np.int64) for j in range(4))
+            root, block, low, high, few = (np.array([r[j] for r in rows], np.int64) for j in range(5))
             for i in range(len(root)):
-                fits = (root < root[i]) & (3 * low <= 4 * high[i]) & (3 * low[i] <= 4 * high)
+                fits = (root < root[i]) & (3 * low <= 4 * high[i]) & (3 * low[i] <= 4 * high) & (few | few[i] > 0)
                 for y in block[fits].tolist():
                     pair = rows[i][1], y
                     count[pair] = count.get(pair, 0) + 1
@@ -270,7 +282,7 @@ def block_pairs(cells_of: DataFrame) -> DataFrame:
 
         now, rows = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("token", "root", "block", "low", "high")]
+            columns = [batch.column(c).to_pylist() for c in ("token", "root", "block", "low", "high", "few")]
             for token, *row in zip(*columns, strict=True):
                 if token != now:
                     if rows:
@@ -371,7 +383,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     split = F.ceil(F.col("members") / BLOCK).cast("int")
     block = F.when(split == 1, F.col("root")).otherwise(F.xxhash64("root", F.pmod(F.xxhash64("rep"), split)))
     info = scratch.table(info.join(sizes, "root").select("rep", "s1", "n", "root", block.alias("block")))
-    cells_of = token_rows.join(info.select("rep", "n", "root", "block"), "rep").groupBy("token", "block", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    cells_of = token_rows.join(info.select("rep", "n", "root", "block"), "rep").groupBy("token", "block", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.bool_or("few").alias("few"))
     # Few tokens lead out of a group: only those go on.
     cells_of = scratch.table(cells_of)
     cells_of = cells_of.join(cells_of.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token"), "token", "left_semi")
