@@ -35,11 +35,17 @@ from .token_counts import tokenizer
 FRAME_IDS = 1 << 16
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 NO_ID = -(1 << 63)
-#: Pieces whose ids a worker keeps.
-KEPT_PIECES = 400_000
+#: Pieces whose ids a worker keeps, in each of two generations.
+KEPT_PIECES = 200_000
 _LOWER = LOWER.tobytes()
-_IDS: dict[str, dict[bytes, bytes]] = {}
-_TAIL = b".,!?;:|"
+_ENCODERS: dict[str, Encoder] = {}
+#: The tokenizer's pattern on dark ASCII bytes and Latin-1 letters, without capitals; a tail of punctuation that no match shares with the letter before.
+_PLAIN = re.compile(rb"(?:[!-@\[-~]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[^a-z0-9\xc3]+")
+_TAIL = re.compile(rb"(?<=[a-z])[.,!?;:|]+$|(?<=\xc3[\x9f-\xb6\xb8-\xbf])[.,!?;:|]+$")
+#: The byte alphabet: printable Latin-1 bytes are their own characters, the others follow from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 
 def by_words(path: str) -> bool:
@@ -54,61 +60,80 @@ def by_words(path: str) -> bool:
         and split.get("type") == "Split"
         and split["behavior"] == "Removed"
         and split["invert"]
+        and [x["type"] for x in made["pre_tokenizer"]["pretokenizers"]] == ["Split", "ByteLevel"]
         and re.fullmatch(r"(?:'[a-z]+\|)*\[\\p\{L\}\]\+\|\[\\p\{N\}\]\|\[\^\\s\\p\{L\}\\p\{N\}\]\+", split["pattern"]["Regex"]) is not None
         and not any(re.search(r"\s", x["content"]) for x in made.get("added_tokens", []))
     )
 
 
+class Pieces(dict):
+    """Ids of pieces, made when first asked for. A full generation becomes the older one, from which what is still in use returns."""
+
+    def __init__(self, make, most: int = KEPT_PIECES):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian bytes. Where the tokenizer works by words, the ids of each piece are kept.
 
     Only ASCII capitals are lowered beforehand, and not in texts with combining marks (their composition may differ by
-    case) or with what may be an added token. A tail of punctuation after an ASCII letter is a piece of its own, as
-    the pattern never matches across.
+    case) or with what may be an added token. Pieces of lower-cased printable ASCII and Latin-1 letters are cut by the
+    pattern here and each part goes to the model alone, as normalizing doesn't change them; all others go to the library.
     """
 
     def __init__(self, path: str):
-        self.coder, self.words, self.kept = tokenizer(path), by_words(path), _IDS.setdefault(path, {})
+        self.coder, self.words = tokenizer(path), by_words(path)
+        if self.words:
+            self.model = self.coder.model
+            self.packed = [struct.pack("<I", i) for i in range(max(self.coder.get_vocab().values()) + 1)]
+            self.kept = Pieces(self.piece)
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(texts), 2048) for e in self.coder.encode_batch_fast(texts[at : at + 2048], add_special_tokens=False)]
 
+    def piece(self, piece: bytes) -> bytes:
+        packed = self.packed
+        if piece.isalpha() and piece.islower():
+            return b"".join([packed[t.id] for t in self.model.tokenize(piece.decode())])
+        core = piece.rstrip(b".,!?;:|")
+        if len(core) < len(piece) and core.isalpha() and core.islower():
+            return self.kept[core] + self.kept[piece[len(core) :]]
+        if _PLAIN.fullmatch(piece) and b"<|" not in piece:
+            parts = _PARTS.findall(piece)
+            if len(parts) > 1:
+                return b"".join([self.kept[x] for x in parts])
+            return b"".join([packed[t.id] for t in self.model.tokenize(piece.decode("latin-1").translate(_ALPHABET))])
+        if tail := _TAIL.search(piece):
+            return self.kept[piece[: tail.start()]] + self.kept[tail.group()]
+        return b"".join([packed[i] for i in self.coder.encode(piece.decode(), add_special_tokens=False).ids])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.words:
             return self.library(texts)
-        kept, cut, parts, cores = self.kept, [], {}, {}
+        out, get = [], self.kept.__getitem__
         for text in texts:
             raw = text.encode()
             if not (b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw):
                 raw = raw.translate(_LOWER)
-            cut.append(raw.split())
-            for piece in cut[-1]:
-                if piece not in kept and piece not in parts:
-                    core = piece.rstrip(_TAIL)
-                    if len(core) == len(piece) or not core or not 97 <= core[-1] <= 122:
-                        core = piece
-                    tail = piece[len(core) :]
-                    parts[piece] = core, tail
-                    for x in (core, tail):
-                        if x and x not in kept:
-                            cores[x] = b""
-        if cores:
-            plain = [x for x in cores if x.isalpha() and x.islower()]  # one word of ASCII letters: the model alone decides
-            cores.update((x, np.array([t.id for t in self.coder.model.tokenize(x.decode())], "<u4").tobytes()) for x in plain)
-            other = [x for x, ids in cores.items() if not ids]
-            cores.update(zip(other, self.library([x.decode() for x in other]), strict=True))
-            near = {**cores, b"": b""}
-            ids = lambda x: near[x] if x in near else kept[x]
-            new = {piece: ids(core) + ids(tail) for piece, (core, tail) in parts.items()}
-        else:
-            new = {piece: kept[core] + (kept[tail] if tail else b"") for piece, (core, tail) in parts.items()}
-        if len(kept) + len(new) + len(cores) <= KEPT_PIECES:
-            kept.update(cores)
-            kept.update(new)
-            get = kept.__getitem__
-        else:
-            get = lambda x: new[x] if x in new else kept[x]
-        return [b"".join(map(get, pieces)) for pieces in cut]
+            out.append(b"".join(map(get, raw.split())))
+        return out
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of a file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -233,7 +258,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int | None = N
 
     def run(batches):
         context = TaskContext.get()
-        part, coder, writer, out, n = context.partitionId(), Encoder(path), None, None, 0
+        part, coder, writer, out, n = context.partitionId(), encoder(path), None, None, 0
         store, base = filesystem(folder)
         name = f"{base}/part-{part:06d}.tokens"
         temp = f"{name}.{context.taskAttemptId()}"
