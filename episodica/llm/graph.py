@@ -20,7 +20,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Edges with a null end are left out; loops only make their node its own root.
     """
     nodes = edges.where("a is not null and b is not null")
-    now = scratch.table(nodes.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = scratch.table(nodes.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), thin=True)
     loops = now.where("a = b").select(F.col("a").alias("node"))
     state, links = _state(now.where("a <> b")), now
     while True:
@@ -31,7 +31,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
-        made = scratch.table(small.where("a <> b").distinct())
+        made = scratch.table(small.where("a <> b").distinct(), thin=True)
         seen = _state(made)
         if links is not now:
             scratch.drop(links)

@@ -366,11 +366,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     keyed = reps.select("rep", "s1", "n", F.posexplode("keys").alias("k", "key"))
     heads = keyed.groupBy("k", "key").agg(F.min_by(F.struct("rep", "s1", "n"), "rep").alias("head"), F.count("*").alias("size")).where("size > 1").drop("size")
     stars = keyed.join(heads, ["k", "key"]).where("rep <> head.rep and 3 * n <= 4 * head.n and 3 * head.n <= 4 * n")
-    stars = scratch.table(stars.select(F.col("head.rep").alias("x"), F.col("head.s1").alias("xs"), F.col("rep").alias("y"), F.col("s1").alias("ys")).distinct())
+    stars = scratch.table(stars.select(F.col("head.rep").alias("x"), F.col("head.s1").alias("xs"), F.col("rep").alias("y"), F.col("s1").alias("ys")).distinct(), thin=True)
     units = stars.select(F.col("x").alias("unit"), F.lit(0).alias("kind"), F.col("x").alias("id"), F.col("xs").alias("s1")).distinct()
-    units = scratch.table(units.union(stars.select("x", F.lit(1), "y", "ys")))
+    units = scratch.table(units.union(stars.select("x", F.lit(1), "y", "ys")), thin=True)
     links = scratch.table(open_units(source, units))
-    roots = scratch.table(components(links, scratch))
+    roots = scratch.table(components(links, scratch), thin=True)
 
     # The matrix. Only documents that aren't alone with their set have to be told apart from copies.
     alone = id_map(some.join(reps.where("copies > 1"), ["n", "s1", "s2"], "left_semi").select("id"))
@@ -382,7 +382,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sizes = info.groupBy("root").agg(F.count("*").alias("members"))
     split = F.ceil(F.col("members") / BLOCK).cast("int")
     block = F.when(split == 1, F.col("root")).otherwise(F.xxhash64("root", F.pmod(F.xxhash64("rep"), split)))
-    info = scratch.table(info.join(sizes, "root").select("rep", "s1", "n", "root", block.alias("block")))
+    info = scratch.table(info.join(sizes, "root").select("rep", "s1", "n", "root", block.alias("block")), thin=True)
     cells_of = token_rows.join(info.select("rep", "n", "root", "block"), "rep").groupBy("token", "block", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.bool_or("few").alias("few"))
     # Few tokens lead out of a group: only those go on.
     cells_of = scratch.table(cells_of)
@@ -390,7 +390,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sizes = info.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.first("root").alias("root"))
     side = lambda c: sizes.select(F.col("block").alias(c), F.col("low").alias(f"{c}l"), F.col("high").alias(f"{c}h"), F.col("root").alias(f"{c}r"))
     pairs = block_pairs(cells_of).groupBy("x", "y").agg(F.sum("shared").alias("shared")).join(side("x"), "x").join(side("y"), "y")
-    pairs = scratch.table(pairs.where(may_link("x", "y")).select("x", "y", "xr", "yr", "shared"))
+    pairs = scratch.table(pairs.where(may_link("x", "y")).select("x", "y", "xr", "yr", "shared"), thin=True)
 
     # Open: first the likeliest partner of each block, then all that is left between groups still apart.
     found = links
@@ -402,17 +402,17 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             todo = todo.where(F.coalesce("xq", "xr") != F.coalesce("yq", "yr"))
         else:
             todo = pairs.groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("y"))
-        todo = scratch.table(todo.select("x", "y"))
+        todo = scratch.table(todo.select("x", "y"), thin=True)
         if todo.isEmpty():
             break
         inside = info.select("block", "rep", "s1")
         unit = F.xxhash64("x", "y").alias("unit")
         queries = todo.join(inside.withColumnRenamed("block", "x"), "x").select(unit, F.lit(1).alias("kind"), F.col("rep").alias("id"), "s1")
         members = todo.join(inside.withColumnRenamed("block", "y"), "y").select(unit, F.lit(0).alias("kind"), F.col("rep").alias("id"), "s1")
-        more = scratch.table(open_units(source, scratch.table(members.union(queries))))
+        more = scratch.table(open_units(source, scratch.table(members.union(queries), thin=True)))
         if not more.isEmpty():
             found = found.union(more)
-            roots = scratch.table(components(found, scratch))
+            roots = scratch.table(components(found, scratch), thin=True)
     final = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("root"))
     out = stats.join(final, ["n", "s1", "s2"], "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("id")).otherwise(F.col("root"))
@@ -425,7 +425,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     Rows without an id stay. Only documents of groups are shuffled, the others just pass.
     """
     scratch = Scratch(docs.sparkSession, "keep")
-    found = scratch.table(jaccard_components(docs, id_col=id_col, text_col=text_col))
+    found = scratch.table(jaccard_components(docs, id_col=id_col, text_col=text_col), thin=True)
     stay = found.where(F.col("component_id") == F.col(id_col)).groupBy(id_col).count()
     unsure = id_map(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("id")).union(stay.where("count > 1").select(id_col)))
     chosen = picked(docs, unsure, True, id_col).join(stay.select(id_col), id_col, "left_semi").dropDuplicates([id_col])
