@@ -12,9 +12,10 @@ hashes (with fewer words, the whole sequence). Sets link where 100 * intersectio
    (token, block): each block's union of those tokens.
 4. Bound: linked sets share DEPTH of these tokens, or all that they must share if that is less. So only blocks of
    different groups that share as many, and whose sizes allow a link, stay candidates.
-5. Open: of each candidate pair of blocks, a set whose overlap with the other block's whole union is less than three
-   quarters of its size is dismissed; the others are held against the members, exactly. First the likeliest partner
-   of each block, then what is left between groups that are still apart.
+5. Open: of each candidate pair of blocks the one with more sets is opened, once for all its pairs. A set of another
+   block whose overlap with the opened block's whole union is less than three quarters of its size is dismissed; the
+   others are held against the members, exactly. First the likeliest partner of each block, then what is left between
+   groups that are still apart.
 
 No step lists pairs within a group: a group of any size is tied together by links to its first set. Passages that many
 documents share come last in the order, so they are no entries unless a set consists of little else.
@@ -387,10 +388,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # Few tokens lead out of a group: only those go on.
     cells_of = scratch.table(cells_of)
     cells_of = cells_of.join(cells_of.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token"), "token", "left_semi")
-    sizes = info.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.first("root").alias("root"))
-    side = lambda c: sizes.select(F.col("block").alias(c), F.col("low").alias(f"{c}l"), F.col("high").alias(f"{c}h"), F.col("root").alias(f"{c}r"))
+    sizes = info.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.first("root").alias("root"), F.count("*").alias("sets"))
+    side = lambda c: sizes.select(F.col("block").alias(c), F.col("low").alias(f"{c}l"), F.col("high").alias(f"{c}h"), F.col("root").alias(f"{c}r"), F.col("sets").alias(f"{c}c"))
     pairs = block_pairs(cells_of).groupBy("x", "y").agg(F.sum("shared").alias("shared")).join(side("x"), "x").join(side("y"), "y")
-    pairs = scratch.table(pairs.where(may_link("x", "y")).select("x", "y", "xr", "yr", "shared"), thin=True)
+    pairs = scratch.table(pairs.where(may_link("x", "y")).select("x", "y", "xr", "yr", "xc", "yc", "shared"), thin=True)
 
     # Open: first the likeliest partner of each block, then all that is left between groups still apart.
     found = links
@@ -401,14 +402,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             todo = pairs.join(now.select(F.col("r").alias("xr"), F.col("root").alias("xq")), "xr", "left").join(now.select(F.col("r").alias("yr"), F.col("root").alias("yq")), "yr", "left")
             todo = todo.where(F.coalesce("xq", "xr") != F.coalesce("yq", "yr"))
         else:
-            todo = pairs.groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("y"))
-        todo = scratch.table(todo.select("x", "y"), thin=True)
+            todo = pairs.groupBy("x").agg(F.max_by(F.struct("y", "xc", "yc"), F.struct("shared", "y")).alias("best")).select("x", "best.*")
+        # The block with more sets is the unit: its members are read once, however many blocks are held against it.
+        query, unit = (F.when(F.col("xc") > F.col("yc"), F.col(p)).otherwise(F.col(q)) for p, q in ("yx", "xy"))
+        todo = scratch.table(todo.select(query.alias("query"), unit.alias("unit")), thin=True)
         if todo.isEmpty():
             break
         inside = info.select("block", "rep", "s1")
-        unit = F.xxhash64("x", "y").alias("unit")
-        queries = todo.join(inside.withColumnRenamed("block", "x"), "x").select(unit, F.lit(1).alias("kind"), F.col("rep").alias("id"), "s1")
-        members = todo.join(inside.withColumnRenamed("block", "y"), "y").select(unit, F.lit(0).alias("kind"), F.col("rep").alias("id"), "s1")
+        queries = todo.join(inside.withColumnRenamed("block", "query"), "query").select("unit", F.lit(1).alias("kind"), F.col("rep").alias("id"), "s1")
+        members = todo.select("unit").distinct().join(inside.withColumnRenamed("block", "unit"), "unit").select("unit", F.lit(0).alias("kind"), F.col("rep").alias("id"), "s1")
         more = scratch.table(open_units(source, scratch.table(members.union(queries), thin=True)))
         if not more.isEmpty():
             found = found.union(more)
