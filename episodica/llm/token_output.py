@@ -36,7 +36,7 @@ FRAME_IDS = 1 << 16
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 NO_ID = -(1 << 63)
 #: Pieces whose ids a worker keeps, in each of two generations.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 300_000
 _LOWER = LOWER.tobytes()
 _ENCODERS: dict[str, Encoder] = {}
 #: The tokenizer's pattern on dark ASCII bytes and Latin-1 letters, without capitals; a tail of punctuation that no match shares with the letter before.
