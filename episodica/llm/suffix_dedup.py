@@ -342,10 +342,13 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     groups = stats.where("id is not null").groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     groups = scratch.table(groups)
 
-    maybe = id_map(stats.where("id is not null").join(groups, "sha", "left_semi").select("id"))
-    heads = groups.select(F.col("first").alias("id")).distinct()
-    firsts = picked(source, maybe, True).join(heads, "id", "left_semi")
-    entries = scratch.table(named(picked(source, maybe, False).union(firsts), n_buckets))
+    rows = stats.where("id is not null").select("id", "sha")
+    copies = scratch.table(rows.join(groups, "sha").where("id > first").select("id", "sha").distinct(), thin=True)
+    maybe = id_map(copies)
+    # Only absence from the map is sure: a row that is in it goes on too, unless it is one of the copies by id and text.
+    stay = scratch.table(picked(rows, maybe, True).join(copies, ["id", "sha"], "left_anti").distinct(), thin=True)
+    unsure = picked(source, maybe, True).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256)).join(stay, ["id", "sha"], "left_semi").select("id", "text")
+    entries = scratch.table(named(picked(source, maybe, False).union(unsure), n_buckets))
     flagged = scratch.table(repeated(entries, n_buckets))
     scratch.drop(entries)
 

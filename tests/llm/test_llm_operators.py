@@ -173,6 +173,14 @@ def test_suffix_dedup(spark, docs):
     assert suffix_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_ids_that_share_a_slot(spark):
+    assert len(set(jaccard_join._slots(np.array([398, 1540])).tolist())) == 1
+    rng = random.Random(9)
+    one, two, copied = (sentence(30, rng) for _ in range(3))
+    data = [(1, copied), (398, copied), (1540, sentence(20, rng) + one), (2000, sentence(20, rng) + one), (398, sentence(20, rng) + two), (2001, sentence(20, rng) + two)]
+    assert rows(suffix_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string"))) == sorted(brute_dedup(data), key=str)
+
+
 def test_pii(docs):
     found = {r.doc_id: r.pii for r in pii.find_pii(docs).collect()}[14]
     text = ROWS[-1][1]
