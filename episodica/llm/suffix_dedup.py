@@ -282,8 +282,12 @@ def answer(asked: DataFrame) -> DataFrame:
     return by_bucket(asked, "bucket int, keys binary, least binary", work)
 
 
+SPANS = "array<struct<start:bigint,end:bigint>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
 def judge(rows: DataFrame) -> DataFrame:
-    """Flagged places, answers and texts, by bucket of the document -> (id, sha, n_removed, n_spans, kept_sha256)."""
+    """Flagged places, answers and texts, by bucket of the document -> (id, sha, spans, kept_sha256)."""
 
     def run(batches):
         now, bucket, keys, least, table = None, None, [], [], None
@@ -315,12 +319,29 @@ def judge(rows: DataFrame) -> DataFrame:
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + LENGTH, -1)
                 gone = np.cumsum(edge[:-1]) > 0
-                runs = int((gone[1:] & ~gone[:-1]).sum()) + int(gone[:1].sum())
-                out.append((row["id"], row["sha"], int(gone.sum()), runs, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
+                turns = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).tolist()
+                spans = [{"start": a, "end": b} for a, b in zip(turns[::2], turns[1::2], strict=True)]
+                out.append((row["id"], row["sha"], spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
             if out:
-                yield _batch(out, pa.schema([("id", pa.int64()), ("sha", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
+                yield _batch(out, pa.schema([("id", pa.int64()), ("sha", pa.string()), ("spans", _SPANS), ("kept_sha256", pa.string())]))
+
+    return rows.mapInArrow(run, f"id long, sha string, spans {SPANS}, kept_sha256 string")
 
-    return rows.mapInArrow(run, "id long, sha string, n_removed long, n_spans long, kept_sha256 string")
+
+def cut(rows: DataFrame) -> DataFrame:
+    """rows with kept (binary: a cut may fall within a character) in the place of text: its bytes outside of spans."""
+    names = [n for n in rows.columns if n != "text"]
+
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                raw = text.encode()
+                ends = [0, *(s["end"] for s in spans)]
+                kept.append(b"".join(raw[a:b] for a, b in zip(ends, [*(s["start"] for s in spans), len(raw)], strict=True)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(kept, pa.binary())], [*names, "kept"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "text") + ", kept binary")
 
 
 def with_bucket(docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -332,8 +353,12 @@ def with_bucket(docs: DataFrame, n_buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, " + ", ".join(f"{n} {t}" for n, t in docs.dtypes))
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id_col (long), n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the rest."""
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False, with_kept: bool = False) -> DataFrame:
+    """One row a document: id_col (long), n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the rest.
+
+    with_spans: also spans, the removed runs as byte offsets [start, end). with_kept: also kept, the bytes of the rest;
+    for that all texts are shuffled once more.
+    """
     spark = prepare(docs.sparkSession)
     scratch, parts = Scratch(spark, "suffixes"), partitions(spark)
     n_buckets = parts  # each bucket of documents asks each bucket of names: not more than partitions
@@ -371,10 +396,17 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     found = stats.join(groups.select("sha", "first"), "sha", "left").join(judged, ["id", "sha"], "left")
     copy = F.coalesce((F.col("id") > F.col("first")) & (F.col("n") >= LENGTH), F.lit(False))
     nothing = hashlib.sha256(b"").hexdigest()
-    return found.select(
-        F.col("id").alias(id_col),
+    found = found.select(
+        "id",
+        "sha",
         F.col("n").alias("n_bytes"),
-        F.when(copy, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(copy, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))).otherwise(F.coalesce("spans", F.array().cast(SPANS))).alias("spans"),
         F.when(copy, nothing).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
+    if with_kept:
+        texts = source.select(F.col("id").alias("of"), F.sha2(F.col("text").cast("binary"), 256).alias("has"), "text")
+        one = found.dropDuplicates(["id", "sha"])
+        found = cut(texts.join(one, (texts["has"] == one["sha"]) & texts["of"].eqNullSafe(one["id"])).drop("of", "has"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    more = ["spans"] * with_spans + ["kept"] * with_kept
+    return found.select(F.col("id").alias(id_col), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", *more)

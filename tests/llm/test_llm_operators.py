@@ -181,6 +181,19 @@ def test_suffix_dedup_ids_that_share_a_slot(spark):
     assert rows(suffix_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string"))) == sorted(brute_dedup(data), key=str)
 
 
+def test_suffix_dedup_spans_and_kept_text(spark):
+    data = [(1, BASE), (2, BASE), (3, "é" * 20 + BASE[10:90] + "!" + BASE[100:180] + "."), (4, "short"), (5, None), (None, BASE), (2, BASE)]
+    out = suffix_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string"), with_spans=True, with_kept=True).collect()
+    assert sorted((tuple(r)[:5] for r in out), key=str) == sorted(brute_dedup(data), key=str)
+    text = {3: data[2][1].encode(), 4: b"short", 5: b""}
+    for r in out:
+        raw = text.get(r.doc_id, BASE.encode())
+        gone = {k for s in r.spans for k in range(s.start, s.end)}
+        assert bytes(r.kept) == bytes(x for k, x in enumerate(raw) if k not in gone)
+        assert len(gone) == r.n_removed and hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
+    assert [[tuple(s) for s in r.spans] for r in out if r.doc_id == 3] == [[(40, 120), (121, 201)]]
+
+
 def test_pii(docs):
     found = {r.doc_id: r.pii for r in pii.find_pii(docs).collect()}[14]
     text = ROWS[-1][1]
