@@ -196,7 +196,7 @@ def entries(docs: DataFrame, rank: np.ndarray, n_buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, tokens binary, ids binary")
 
 
-def by_bucket(blobs: DataFrame, schema: str, work) -> DataFrame:
+def by_bucket(blobs: DataFrame, schema: str, work, order: tuple[str, ...] = ()) -> DataFrame:
     """work(list of rows) -> record batch, for each bucket; only one bucket's blobs are held at a time."""
     parts = partitions(blobs.sparkSession)
 
@@ -212,7 +212,7 @@ def by_bucket(blobs: DataFrame, schema: str, work) -> DataFrame:
         if rows:
             yield from work(rows)
 
-    return blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return blobs.repartition(parts, "bucket").sortWithinPartitions("bucket", *order).mapInArrow(run, schema)
 
 
 def shared_entries(blobs: DataFrame) -> DataFrame:

@@ -1,30 +1,33 @@
-"""Removal of long repeated passages by sampled suffixes, a difference cover chosen by content.
+"""Removal of long repeated passages by a distributed difference cover.
 
 A byte goes if a LENGTH-byte string that covers it also starts in a document with a smaller id. Texts are UTF-8 bytes,
 strings never cross documents, and all strings are judged on the input.
 
-A difference cover samples text positions so that any two suffixes have an offset at which both are sampled. Here the
-sample is chosen by content: of each LENGTH-byte string the position (the last one of equals) of its least hash of GRAM
-bytes. Equal strings choose the same offset, so their samples meet, with a thirtieth of the positions of the text at
-each side instead of two thirds of all (see the README). The steps follow the difference-cover algorithm:
+COVER is a perfect difference set modulo CYCLE: for any two places of two texts one offset below CYCLE makes both a
+sampled place, one whose number modulo CYCLE is in COVER. So of two equal strings both hold, at the same offset, a
+sampled suffix whose first TUPLE bytes lie inside the string. The steps are those of the difference-cover algorithm, to
+a depth of LENGTH bytes:
 
-1. Sampled suffixes are named by the hash of their first GRAM bytes and dealt out by name; names that only one document
-   has end here. Of a name that repeats within one task, two occurrences go on: all of them are known to repeat.
-2. Sampled suffixes that share a name are refined by their surroundings: the bytes that strings around the sample
-   cover. Tasks send each distinct surrounding once, with its least document.
-3. The remaining suffixes, those that start before a sample, are merged by the bytes up to the sample and the name:
-   for each distance the LENGTH bytes are hashed, equal ones meet, and their least document is found.
-4. Each document compares its strings with that: those that start in a smaller document are removed.
+1. Sampled tuples: the first TUPLE bytes of each sampled suffix (6 of 31 places) are named by their hash, dealt out by
+   ranges of names and sorted; names that only one document has end here.
+2. Recursion on names isn't needed: at this depth a name and the bytes before and behind it decide a string.
+3. Merging: suffixes that start up to CYCLE - 1 bytes before a sampled suffix whose name repeats may be repeated strings.
+   These, the sampled ones among them, are keyed by the hash of their LENGTH bytes, dealt out by ranges of keys and sorted.
+4. Adjacent suffixes with equal prefixes tell which documents hold a string.
+
+Documents are dealt into homes by ranges of ids, so a string that also has an entry of a home before goes; within a home
+documents are worked on by ascending id. A home sends each key once, and gets back one bit for each that it sent. A name
+or a string that very many documents have is thus one entry for each home and never lists its documents.
 
 Documents with equal texts are one here: the least id is worked on, the others go as a whole (from LENGTH bytes on).
 Null texts are empty. Rows without an id neither remove nor lose anything; rows that share an id don't remove each
-other's bytes. Repeated rows give repeated rows. Names and strings are compared by 64-bit hashes, strings together
-with their name.
+other's bytes. Repeated rows give repeated rows. Names and strings are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -35,293 +38,293 @@ from .jaccard_join import by_bucket, id_map, picked
 from .runtime import Scratch, partitions, prepare
 from .spans import U64, blocks, mix, pack, powers, unpack
 
-LENGTH, GRAM = 50, 20
-WINDOW = LENGTH - GRAM + 1
-BEFORE, AROUND = WINDOW - 1, WINDOW - 1 + LENGTH
-#: Bytes that are sampled at once, entries that a task gathers.
-CHUNK, GATHERED = 1 << 21, 1 << 20
-_PLACE = U64((1 << 28) - 1)
-NONE = np.iinfo(np.int64).max
-
-
-def samples(data: np.ndarray, offsets: np.ndarray):
-    """Sampled places of a block: (place, name, first and last start of the strings that choose it), in order."""
-    found = []
-    for base in range(0, max(len(data) - LENGTH + 1, 0), CHUNK):
-        part = data[base : base + CHUNK + LENGTH - 1]
+LENGTH, CYCLE = 50, 31
+TUPLE = LENGTH - CYCLE + 1
+#: A perfect difference set modulo CYCLE.
+COVER = (0, 1, 3, 8, 12, 18)
+#: Bytes that are hashed at once, entries that a task gathers at least.
+CHUNK, GATHERED = 1 << 21, 1 << 21
+_SAMPLED = np.isin(np.arange(CYCLE), COVER)
+
+
+def string_hashes(data: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the width bytes at each of the ascending places."""
+    out = np.empty(len(places), U64)
+    for base in range(0, len(data), CHUNK):
+        a, e = np.searchsorted(places, (base, base + CHUNK))
+        if a == e:
+            continue
+        part = data[base : base + CHUNK + width]
         up, down = powers(len(part) + 1)
         sums = np.zeros(len(part) + 1, U64)
         np.cumsum((part.astype(U64) + U64(1)) * up[: len(part)], out=sums[1:])
-        n = len(part) - GRAM + 1
-        names = mix((sums[GRAM:] - sums[:n]) * down[:n])
-        values = names & ~_PLACE | (_PLACE - np.arange(n, dtype=U64))
-        have, least = 1, values
-        while have < WINDOW:
-            step = min(have, WINDOW - have)
-            least = np.minimum(least[:-step], least[step:])
-            have += step
-        starts = np.ones(len(least), bool)
-        starts[1:] = least[1:] != least[:-1]
-        cuts = offsets - base
-        for cut in cuts[(cuts > 0) & (cuts < len(least))]:  # strings of the next text
-            starts[cut] = True
-        first = np.flatnonzero(starts)
-        last = np.append(first[1:], len(least)) - 1
-        place = (_PLACE - (least[first] & _PLACE)).astype(np.int64)
-        found.append((place + base, names[place], first + base, last + base))
-    if not found:
-        empty = np.zeros(0, np.int64)
-        return empty, np.zeros(0, U64), empty, empty
-    place, name, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
-    # A run of strings may begin in one text and end beyond it: only those that end inside count.
-    row = np.searchsorted(offsets, first, "right") - 1
-    last = np.minimum(last, offsets[np.minimum(row + 1, len(offsets) - 1)] - LENGTH)
-    keep = first <= last
-    return place[keep], name[keep], first[keep], last[keep]
-
-
-def _bucket(ids: np.ndarray, n: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(U64)) % U64(n)).astype(np.int32)
-
-
-def _split(bucket: np.ndarray, *columns: np.ndarray):
-    """(bucket, the columns' rows of it), by bucket and then as they come."""
-    if not len(bucket):
+        at = places[a:e] - base
+        out[a:e] = mix((sums[at + width] - sums[at]) * down[at])
+    return out
+
+
+def samples(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, names) of the sampled tuples of a block of texts, in order."""
+    size = np.diff(offsets)
+    local = np.arange(len(data)) - np.repeat(offsets[:-1], size)
+    places = np.flatnonzero(_SAMPLED[local % CYCLE] & (local + TUPLE <= np.repeat(size, size)))
+    return places, string_hashes(data, places, TUPLE)
+
+
+def suspects(data: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, keys) of the strings of one text that hold a sampled tuple with one of the (sorted) names."""
+    if len(data) < LENGTH or not len(names):
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    places, own = samples(data, np.array([0, len(data)]))
+    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+    places = places[names[at] == own]
+    edge = np.zeros(len(data) + 1, np.int32)
+    np.add.at(edge, np.maximum(places - CYCLE + 1, 0), 1)
+    np.add.at(edge, places + 1, -1)
+    starts = np.flatnonzero(np.cumsum(edge[: len(data) - LENGTH + 1]) > 0)
+    return starts, string_hashes(data, starts, LENGTH)
+
+
+def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
+    """Which of n equal ranges each 64-bit key falls into."""
+    return ((keys >> U64(32)) * U64(n) >> U64(32)).astype(np.int32)
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=U64(0)))
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, U64), dtype=U64)
+
+
+def _cuts(ids: np.ndarray):
+    """(value, first, end) of each run of equal items."""
+    if not len(ids):
         return
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    found, first = np.unique(bucket, return_index=True)
-    for b, a, e in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
-        yield b, [c[order[a:e]] for c in columns]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    yield from zip(ids[first].tolist(), first.tolist(), [*first[1:].tolist(), len(ids)], strict=True)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
-_ENTRIES = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("names", pa.binary()), ("ids", pa.binary()), ("places", pa.binary())])
+_NAMES = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("told", pa.int8()), ("names", pa.binary())])
+#: Of a row of names: one document's, as far as the task knows; repeated, for the range; repeated, for the home.
+ONE, MANY, HOME = 0, 1, 2
 
 
-def named(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """(id, text) -> sampled suffixes by name, and those (known) that repeat among one task's documents, by document."""
+def named(docs: DataFrame, bounds: np.ndarray, n_buckets: int) -> DataFrame:
+    """(id, text) -> names of sampled tuples (bucket, home, told, names).
+
+    Names that several of a task's documents have are repeated whatever others hold: their homes are told directly
+    (the home's number is the bucket then), their range gets one entry.
+    """
+    gather = max(GATHERED, 64 * n_buckets)
 
     def send(parts):
-        names, ids, places = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((places, ids, names))
-        names, ids, places = names[order], ids[order], places[order]
+        names = np.concatenate([p[0] for p in parts])
+        row = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        home = np.array([p[1] for p in parts], np.int32)
+        order = np.argsort(names, kind="stable")
+        names, row = names[order], row[order]
         fresh = np.ones(len(names), bool)
         fresh[1:] = names[1:] != names[:-1]
         first = np.flatnonzero(fresh)
-        last = np.append(first[1:], len(names)) - 1
-        known = np.repeat(ids[last] != ids[first], last - first + 1)  # these repeat whatever others hold
-        speaks = ~known
-        speaks[first] = speaks[last] = True
-        told = lambda keep: (names[keep], ids[keep], places[keep].astype(np.uint32))
-        rows = [(b, False, n.tobytes(), pack(i), pack(p)) for b, (n, i, p) in _split((mix(names[speaks]) % U64(n_buckets)).astype(np.int32), *told(speaks))]
-        rows += [(b, True, b"", pack(i), pack(p)) for b, (_, i, p) in _split(_bucket(ids[known], n_buckets), *told(known))]
-        return _batch(rows, _ENTRIES)
+        many = row[first] != row[np.append(first[1:], len(names)) - 1]
+        one = first[~many]
+        rows = []
+        for told, at in ((ONE, one), (HOME, np.flatnonzero(np.repeat(many, np.diff(np.append(first, len(names))))))):
+            # By home and then as sorted: within a home the names ascend, and so do their ranges.
+            of = home[row[at]]
+            at = at[np.argsort(of, kind="stable")]
+            for h, a, e in _cuts(home[row[at]]):
+                mine = names[at[a:e]]
+                if told == HOME:
+                    rows.append((h, h, told, _pack_sorted(np.unique(mine))))
+                else:
+                    rows += [(b, h, told, _pack_sorted(mine[x:y])) for b, x, y in _cuts(_ranges(mine, n_buckets))]
+        every = names[first[many]]
+        rows += [(b, -1, MANY, _pack_sorted(every[x:y])) for b, x, y in _cuts(_ranges(every, n_buckets))]
+        return _batch(rows, _NAMES)
 
     def run(batches):
         parts, size = [], 0
         for batch in batches:
-            every = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+            homes = np.searchsorted(bounds, ids, "right").tolist()
             for at, _, data, offsets in blocks(batch.column("text")):
-                place, name, first, _ = samples(data, offsets)
-                row = np.searchsorted(offsets, first, "right") - 1
-                if len(place):
-                    parts.append((name, every[at + row], place - offsets[row]))
-                    size += len(place)
-            if size >= GATHERED:
-                yield send(parts)
-                parts, size = [], 0
+                place, name = samples(data, offsets)
+                cut = np.searchsorted(place, offsets)
+                for k, (a, e) in enumerate(itertools.pairwise(cut.tolist())):
+                    if a < e:
+                        parts.append((name[a:e], homes[at + k]))
+                size += len(place)
+                if size >= gather:
+                    yield send(parts)
+                    parts, size = [], 0
         if parts:
             yield send(parts)
 
-    return docs.mapInArrow(run, "bucket int, known boolean, names binary, ids binary, places binary")
+    return docs.mapInArrow(run, "bucket int, home int, told byte, names binary")
 
 
-def repeated(entries: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket of the document, ids, places) of the sampled suffixes whose name several documents have."""
+def repeated(entries: DataFrame) -> DataFrame:
+    """(home, names): for each home the names of its documents' tuples that other documents have too."""
 
     def work(rows):
-        names = np.concatenate([np.frombuffer(r["names"], U64) for r in rows])
-        ids = np.concatenate([unpack(r["ids"], np.int64) for r in rows])
-        places = np.concatenate([unpack(r["places"], np.uint32) for r in rows])
-        order = np.lexsort((ids, names))
-        names, ids, places = names[order], ids[order], places[order]
-        fresh = np.ones(len(names), bool)
-        fresh[1:] = names[1:] != names[:-1]
-        first = np.flatnonzero(fresh)
-        after = np.append(first[1:], len(names))
-        keep = np.repeat(ids[after - 1] != ids[first], after - first)
-        ids, places = ids[keep], places[keep]
-        out = [(b, pack(i), pack(p)) for b, (i, p) in _split(_bucket(ids, n_buckets), ids, places)]
+        out = [(r["home"], r["names"]) for r in rows if r["told"] == HOME]
+        rows = [r for r in rows if r["told"] != HOME]
+        if rows:
+            parts = [_unpack_sorted(r.pop("names")) for r in rows]
+            every = np.sort(np.concatenate(parts))
+            twice = every[1:][every[1:] == every[:-1]]
+            known = np.unique(np.concatenate([twice, *(p for p, r in zip(parts, rows, strict=True) if r["told"] == MANY)]))
+            if len(known):
+                for p, r in zip(parts, rows, strict=True):
+                    if r["told"] == ONE:
+                        mine = p[known[np.minimum(np.searchsorted(known, p), len(known) - 1)] == p]
+                        if len(mine):
+                            out.append((r["home"], _pack_sorted(mine)))
         if out:
-            yield _batch(out, pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("places", pa.binary())]))
-
-    found = by_bucket(entries.where("not known").select("bucket", "names", "ids", "places"), "bucket int, ids binary, places binary", work)
-    return found.union(entries.where("known").select("bucket", "ids", "places"))
-
-
-def surroundings(data: np.ndarray, place, first, last) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each sample the bytes of its strings (zero elsewhere; the sample itself stands at BEFORE), least and greatest distance."""
-    near, far = place - last, place - first
-    columns = np.arange(AROUND)
-    at = place[:, None] - BEFORE + columns
-    inside = (columns >= (BEFORE - far)[:, None]) & (columns < (BEFORE + LENGTH - near)[:, None])
-    return np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8), near, far
+            yield _batch(out, pa.schema([("home", pa.int32()), ("names", pa.binary())]))
 
+    return by_bucket(entries, "home int, names binary", work)
 
-def digests(context: np.ndarray, name: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
-    up, _ = powers(AROUND + 1)
-    poly = ((context.astype(U64) + U64(1)) * up[:AROUND]).sum(1, dtype=U64)
-    return mix(mix(poly) + name + (near * 64 + far).astype(U64))
 
-
-class _Bucket:
-    """The flagged places of one bucket's documents."""
+class _Home:
+    """The strings of one home's documents in ascending order of ids: which are new to it, and who had the others first."""
 
     def __init__(self):
-        self.ids, self.places, self.sorted = [], [], None
-
-    def add(self, ids: bytes, places: bytes):
-        self.ids.append(unpack(ids, np.int64))
-        self.places.append(unpack(places, np.uint32))
-
-    def of(self, doc_id: int) -> np.ndarray:
-        if self.sorted is None:
-            ids, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.ids, self.places))
-            order = np.argsort(ids, kind="stable")
-            self.sorted = ids[order], places[order].astype(np.int64)
-            self.ids = self.places = None
-        ids, places = self.sorted
-        a, b = np.searchsorted(ids, doc_id, "left"), np.searchsorted(ids, doc_id, "right")
-        return places[a:b]
-
-
-def _flagged(raw: bytes, doc_id: int, bucket: _Bucket):
-    data = np.frombuffer(raw, np.uint8)
-    place, name, first, last = samples(data, np.array([0, len(data)]))
-    keep = np.isin(place, bucket.of(doc_id))
-    return data, place[keep], name[keep], first[keep], last[keep]
-
-
-_ASKED = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("names", pa.binary()), ("contexts", pa.binary()), ("spans", pa.binary()), ("ids", pa.binary())])
+        self.parts, self.names = [], None
+        self.keys, self.first, self.gone = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def add(self, names: bytes):
+        self.parts.append(_unpack_sorted(names))
+
+    def strings(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.names is None:
+            self.names = np.unique(np.concatenate(self.parts)) if self.parts else np.zeros(0, U64)
+            self.parts = None
+        data = np.frombuffer(raw, np.uint8)
+        return data, *suspects(data, self.names)
+
+    def fresh(self, keys: list[np.ndarray], ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys that the home hasn't had yet, each with its first document."""
+        every = np.concatenate(keys) if keys else np.zeros(0, U64)
+        made, at = np.unique(every, return_index=True)  # the first of equals
+        owner = np.repeat(np.array(ids, np.int64), [len(k) for k in keys])[at]
+        if len(self.keys):
+            new = self.keys[np.minimum(np.searchsorted(self.keys, made), len(self.keys) - 1)] != made
+            made, owner = made[new], owner[new]
+        return made, owner
+
+    def learn(self, keys: np.ndarray, first: np.ndarray, gone: np.ndarray):
+        """gone: whether a home before this one has the key."""
+        every = np.concatenate([self.keys, keys])
+        order = np.argsort(every, kind="stable")
+        self.keys, self.first, self.gone = every[order], np.concatenate([self.first, first])[order], np.concatenate([self.gone, gone])[order]
+
+    def removed(self, keys: np.ndarray, doc_id: int) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        return self.gone[at] | (self.first[at] < doc_id)
+
+
+def _by_home(batches, gather: int):
+    """(home, state, number of the gathering, its documents' rows, their strings, answers), one gathering after another.
+
+    Rows of a home come as names (kind 0), answers (kind 1), texts (kind 2) by ascending id and text, so a home's
+    gatherings are the same whenever they are made.
+    """
+    now, state, number, rows, found, size, answers = None, None, 0, [], [], 0, {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["home"] != now:
+                if rows:
+                    yield now, state, number, rows, found, answers
+                now, state, number, rows, found, size, answers = row["home"], _Home(), 0, [], [], 0, {}
+            if row["kind"] == 0:
+                state.add(row["data"])
+            elif row["kind"] == 1:
+                answers.setdefault(row["number"], []).append((row["bucket"], row["data"]))
+            else:
+                rows.append(row)
+                found.append(state.strings((row.pop("text") or "").encode()))
+                size += len(found[-1][1]) + len(found[-1][0]) // 8
+                if size >= gather:
+                    yield now, state, number, rows, found, answers
+                    number, rows, found, size = number + 1, [], [], 0
+    if rows:
+        yield now, state, number, rows, found, answers
+
+
+_ASKED = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("number", pa.int32()), ("keys", pa.binary())])
 
 
 def ask(rows: DataFrame, n_buckets: int) -> DataFrame:
-    """Flagged places and texts, by bucket of the document -> each distinct surrounding with its least document, by name."""
-
-    def send(home, parts):
-        names, contexts, near, far, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
-        key = digests(contexts, names, near, far)
-        order = np.lexsort((ids, key))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = key[order][1:] != key[order][:-1]
-        one = order[fresh]
-        spans = (near * 64 + far).astype(np.uint16)
-        out = [(b, home, n.tobytes(), c.tobytes(), pack(s), pack(i)) for b, (n, c, s, i) in _split((mix(names[one]) % U64(n_buckets)).astype(np.int32), names[one], contexts[one], spans[one], ids[one])]
-        return _batch(out, _ASKED)
+    """Names and texts by home -> each home's distinct strings, by ranges of keys."""
+    gather = max(GATHERED, 64 * n_buckets)
 
     def run(batches):
-        now, bucket, parts, size = None, None, [], 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != now:
-                    if parts:
-                        yield send(now, parts)
-                    now, bucket, parts, size = row["bucket"], _Bucket(), [], 0
-                if row["kind"] == 0:
-                    bucket.add(row["ids"], row["places"])
-                    continue
-                data, place, name, first, last = _flagged((row["text"] or "").encode(), row["id"], bucket)
-                if len(place):
-                    context, near, far = surroundings(data, place, first, last)
-                    parts.append((name, context, near, far, np.full(len(place), row["id"])))
-                    size += len(place)
-                if size >= GATHERED // 8:
-                    yield send(now, parts)
-                    parts, size = [], 0
-        if parts:
-            yield send(now, parts)
+        for home, state, number, rows, found, _ in _by_home(batches, gather):
+            keys, first = state.fresh([f[2] for f in found], [r["id"] for r in rows])
+            state.learn(keys, first, np.zeros(len(keys), bool))
+            if len(keys):
+                yield _batch([(b, home, number, _pack_sorted(keys[x:y])) for b, x, y in _cuts(_ranges(keys, n_buckets))], _ASKED)
 
-    return rows.mapInArrow(run, "bucket int, home int, names binary, contexts binary, spans binary, ids binary")
+    return rows.mapInArrow(run, "bucket int, home int, number int, keys binary")
 
 
 def answer(asked: DataFrame) -> DataFrame:
-    """For each surrounding and each distance of a string's start before the sample: the least document that has the string."""
+    """For each row of keys one bit a key: whether a home with a smaller number has the string too."""
 
     def work(rows):
-        size = [len(r["names"]) // 8 for r in rows]
-        names = np.concatenate([np.frombuffer(r["names"], U64) for r in rows])
-        context = np.concatenate([np.frombuffer(r["contexts"], np.uint8) for r in rows]).reshape(-1, AROUND)
-        spans = np.concatenate([unpack(r["spans"], np.uint16) for r in rows]).astype(np.int64)
-        ids = np.concatenate([unpack(r["ids"], np.int64) for r in rows])
-        near, far = spans >> 6, spans & 63
-        up, down = powers(AROUND + 1)
-        least = np.full((len(names), WINDOW), NONE)
-        sums = np.zeros((len(names), AROUND + 1), U64)
-        np.cumsum((context.astype(U64) + U64(1)) * up[:AROUND], axis=1, out=sums[:, 1:])
-        for j in range(WINDOW):  # the strings that start j bytes before the sample
-            live = np.flatnonzero((near <= j) & (j <= far))
-            if not len(live):
-                continue
-            low = BEFORE - j
-            text = mix(mix((sums[live, low + LENGTH] - sums[live, low]) * down[low]) + names[live])
-            order = np.lexsort((ids[live], text))
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = text[order][1:] != text[order][:-1]
-            first = np.flatnonzero(fresh)
-            least[live[order], j] = np.repeat(ids[live[order[first]]], np.diff(np.append(first, len(order))))
-        key, at, out = digests(context, names, near, far), 0, []
-        for row, n in zip(rows, size, strict=True):
-            out.append((row["home"], key[at : at + n].tobytes(), pack(least[at : at + n].ravel())))
-            at += n
-        yield _batch(out, pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("least", pa.binary())]))
-
-    return by_bucket(asked, "bucket int, keys binary, least binary", work)
+        parts = [_unpack_sorted(r.pop("keys")) for r in rows]
+        keys = np.concatenate(parts)
+        home = np.repeat(np.array([r["home"] for r in rows], np.int32), [len(p) for p in parts])
+        order = np.argsort(keys, kind="stable")  # rows come by home: the first of adjacent equals is of the least
+        keys = keys[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = keys[1:] != keys[:-1]
+        gone = np.empty(len(keys), bool)
+        gone[order] = ~fresh
+        out, at = [], 0
+        for row, p in zip(rows, parts, strict=True):
+            out.append((row["bucket"], row["home"], row["number"], np.packbits(gone[at : at + len(p)]).tobytes()))
+            at += len(p)
+        yield _batch(out, pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("number", pa.int32()), ("bits", pa.binary())]))
+
+    return by_bucket(asked, "bucket int, home int, number int, bits binary", work, order=("home", "number"))
 
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def judge(rows: DataFrame) -> DataFrame:
-    """Flagged places, answers and texts, by bucket of the document -> (id, sha, spans, kept_sha256)."""
+def judge(rows: DataFrame, n_buckets: int) -> DataFrame:
+    """Names, answers and texts by home -> (id, sha, spans, kept_sha256)."""
+    gather = max(GATHERED, 64 * n_buckets)
 
     def run(batches):
-        now, bucket, keys, least, table = None, None, [], [], None
-        for batch in batches:
+        for _, state, number, rows, found, answers in _by_home(batches, gather):
+            keys, first = state.fresh([f[2] for f in found], [r["id"] for r in rows])
+            gone = np.zeros(len(keys), bool)
+            bits = dict(answers.pop(number, ()))
+            for b, x, y in _cuts(_ranges(keys, n_buckets)):
+                gone[x:y] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=y - x).astype(bool)
+            state.learn(keys, first, gone)
             out = []
-            for row in batch.to_pylist():
-                if row["bucket"] != now:
-                    now, bucket, keys, least, table = row["bucket"], _Bucket(), [], [], None
-                if row["kind"] == 0:
-                    bucket.add(row["ids"], row["places"])
-                    continue
-                if row["kind"] == 1:
-                    keys.append(np.frombuffer(row["ids"], U64))
-                    least.append(unpack(row["places"], np.int64).reshape(-1, WINDOW))
-                    continue
-                if table is None:
-                    every = np.concatenate(keys) if keys else np.zeros(0, U64)
-                    order = np.argsort(every)
-                    table = every[order], np.concatenate(least)[order] if keys else np.zeros((0, WINDOW), np.int64)
-                    keys, least = [], []
-                data, place, name, first, last = _flagged((row["text"] or "").encode(), row["id"], bucket)
-                edge = np.zeros(len(data) + 1, np.int64)
-                if len(place) and len(table[0]):
-                    context, near, far = surroundings(data, place, first, last)
-                    asked = digests(context, name, near, far)
-                    at = np.minimum(np.searchsorted(table[0], asked), len(table[0]) - 1)
-                    k, j = np.nonzero((table[0][at] == asked)[:, None] & (table[1][at] < row["id"]))
-                    start = place[k] - j
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + LENGTH, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                turns = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).tolist()
+            for row, (data, starts, own) in zip(rows, found, strict=True):
+                edge = np.zeros(len(data) + 1, np.int32)
+                starts = starts[state.removed(own, row["id"])] if len(own) else starts
+                np.add.at(edge, starts, 1)
+                np.add.at(edge, starts + LENGTH, -1)
+                covered = np.cumsum(edge[:-1]) > 0
+                turns = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8))).tolist()
                 spans = [{"start": a, "end": b} for a, b in zip(turns[::2], turns[1::2], strict=True)]
-                out.append((row["id"], row["sha"], spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
+                if spans:
+                    out.append((row["id"], row["sha"], spans, hashlib.sha256(data[~covered].tobytes()).hexdigest()))
             if out:
                 yield _batch(out, pa.schema([("id", pa.int64()), ("sha", pa.string()), ("spans", _SPANS), ("kept_sha256", pa.string())]))
 
@@ -344,13 +347,13 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "text") + ", kept binary")
 
 
-def with_bucket(docs: DataFrame, n_buckets: int) -> DataFrame:
+def with_home(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket(ids, n_buckets)), *batch.columns], ["bucket", *batch.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, ids, "right").astype(np.int32)), *batch.columns], ["home", *batch.schema.names])
 
-    return docs.mapInArrow(run, "bucket int, " + ", ".join(f"{n} {t}" for n, t in docs.dtypes))
+    return docs.mapInArrow(run, "home int, " + ", ".join(f"{n} {t}" for n, t in docs.dtypes))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False, with_kept: bool = False) -> DataFrame:
@@ -361,7 +364,6 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     """
     spark = prepare(docs.sparkSession)
     scratch, parts = Scratch(spark, "suffixes"), partitions(spark)
-    n_buckets = parts  # each bucket of documents asks each bucket of names: not more than partitions
     source = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     stats = scratch.table(source.select("id", F.octet_length("text").cast("long").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
     groups = stats.where("id is not null").groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
@@ -373,25 +375,19 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     # Only absence from the map is sure: a row that is in it goes on too, unless it is one of the copies by id and text.
     stay = scratch.table(picked(rows, maybe, True).join(copies, ["id", "sha"], "left_anti").distinct(), thin=True)
     unsure = picked(source, maybe, True).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256)).join(stay, ["id", "sha"], "left_semi").select("id", "text")
-    entries = scratch.table(named(picked(source, maybe, False).union(unsure), n_buckets))
-    flagged = scratch.table(repeated(entries, n_buckets))
-    scratch.drop(entries)
-
-    def all_ids(batches):
-        for batch in batches:
-            for raw in batch.column("ids").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(unpack(raw, np.int64)))], ["id"])
+    firsts = picked(source, maybe, False).union(unsure)
 
-    involved = id_map(flagged.mapInArrow(all_ids, "id long"))
-    texts = with_bucket(picked(source, involved, True), n_buckets)
+    bounds = np.unique(np.array(stats.approxQuantile("id", [k / parts for k in range(1, parts)], 1 / (8 * parts)) if parts > 1 else [], np.float64).astype(np.int64))
+    names = scratch.table(repeated(named(firsts, bounds, parts)))
+    texts = with_home(firsts, bounds)
     none = lambda kind: F.lit(None).cast(kind)
-    places = flagged.select("bucket", F.lit(0).alias("kind"), none("long").alias("id"), none("string").alias("text"), "ids", "places")
-    rows = places.union(texts.select("bucket", F.lit(2), "id", "text", none("binary"), none("binary")))
-    deal = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    answers = scratch.table(answer(ask(deal(rows), n_buckets)))
-    rows = places.select("*", none("string").alias("sha")).union(answers.select("bucket", F.lit(1), none("long"), none("string"), "keys", "least", none("string")))
-    rows = rows.union(texts.select("bucket", F.lit(2), "id", "text", none("binary"), none("binary"), F.sha2(F.col("text").cast("binary"), 256)))
-    judged = judge(deal(rows)).dropDuplicates(["id", "sha"])
+    empty = [none("long").alias("id"), none("string").alias("text"), none("string").alias("sha")]
+    known = names.select("home", F.lit(0).alias("kind"), *empty, none("int").alias("number"), none("int").alias("bucket"), F.col("names").alias("data"))
+    mine = texts.select("home", F.lit(2), "id", "text", F.sha2(F.col("text").cast("binary"), 256), none("int"), none("int"), none("binary"))
+    deal = lambda df: df.repartition(parts, "home").sortWithinPartitions("home", "kind", "id", "sha")
+    answers = scratch.table(answer(ask(deal(known.union(mine)), parts)))
+    told = answers.select("home", F.lit(1), *empty, "number", "bucket", "bits")
+    judged = judge(deal(known.union(told).union(mine)), parts).dropDuplicates(["id", "sha"])
 
     found = stats.join(groups.select("sha", "first"), "sha", "left").join(judged, ["id", "sha"], "left")
     copy = F.coalesce((F.col("id") > F.col("first")) & (F.col("n") >= LENGTH), F.lit(False))

@@ -181,6 +181,22 @@ def test_suffix_dedup_ids_that_share_a_slot(spark):
     assert rows(suffix_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string"))) == sorted(brute_dedup(data), key=str)
 
 
+def test_suffix_dedup_gathers_homes_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GATHERED", 300)
+    rng = random.Random(12)
+    shared = [sentence(14, rng) for _ in range(6)]
+    data = [(rng.randrange(400), " ".join(rng.choice([*shared, sentence(3, rng), sentence(9, rng)]) for _ in range(4))) for _ in range(300)]
+    long = "".join(rng.choices("abcdefgh ", k=suffix_dedup.CHUNK + 3000))
+    edge = suffix_dedup.CHUNK - 40
+    data += [(500, long), (90, "z" + long[edge : edge + 90]), (600, long[edge - 70 : edge + 30] + "zzz" + shared[0] * 40), (None, long[:200])]
+    for rows_of in (data, data[::-1]):
+        assert rows(suffix_dedup.dedup(spark.createDataFrame(rows_of, "doc_id long, text string"))) == sorted(brute_dedup(data), key=str)
+
+
+def test_suffix_dedup_cover_has_every_difference():
+    assert {(a - b) % suffix_dedup.CYCLE for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.CYCLE))
+
+
 def test_suffix_dedup_spans_and_kept_text(spark):
     data = [(1, BASE), (2, BASE), (3, "é" * 20 + BASE[10:90] + "!" + BASE[100:180] + "."), (4, "short"), (5, None), (None, BASE), (2, BASE)]
     out = suffix_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string"), with_spans=True, with_kept=True).collect()
