@@ -3,15 +3,19 @@
 Words are lower-cased runs without ASCII blanks; a document's set holds its distinct SHINGLE-word shingles as 64-bit
 hashes (with fewer words, the whole sequence). Sets link where 100 * intersection >= 75 * union. The steps:
 
-1. One scan makes each set's size, digest and KEYS min-hash keys, and counts all shingles in a sketch of fixed size.
+1. Shingles meet by ranges of their hashes, and each document learns which of its own another one has too. A set of n
+   shingles can only link if three quarters of n are shared by anyone: the others, most of a usual corpus, are alone.
+   What is left is written once, as sorted hashes; texts aren't read again.
    Documents with equal sets are one from here on (the one with the least id); they link by definition.
 2. Grouping: sets that share a min-hash key are held against the key's first set, exactly. Linked sets are a group;
    a large group is cut into blocks of about BLOCK sets.
-3. The matrix: of each set the first n - ceil(0.75 n) + DEPTH shingles, rare ones (by the sketch) first, are entries
-   (token, set), and the first n - ceil(6/7 n) + DEPTH are marked as enough against sets that aren't smaller; entries of tokens that only one set has are dropped where they meet, and the rest become
-   (token, block): each block's union of those tokens.
+3. The matrix: among the sets that are left each shingle's number of sets is counted, exactly. Of each set the first
+   n - ceil(0.75 n) + DEPTH shingles, rare ones first, are entries (token, set), and the first n - ceil(6/7 n) + DEPTH are
+   marked as enough against sets that aren't smaller. Shingles that one set has stand first and need no entry. Entries
+   become (token, block): each block's union of those tokens.
 4. Bound: linked sets share DEPTH of these tokens, or all that they must share if that is less. So only blocks of
-   different groups that share as many, and whose sizes allow a link, stay candidates.
+   different groups that share as many, and whose sizes allow a link, stay candidates. Tokens of many blocks are dealt
+   out in tiles of TILE by TILE blocks.
 5. Open: of each candidate pair of blocks the one with more sets is opened, once for all its pairs. A set of another
    block whose overlap with the opened block's whole union is less than three quarters of its size is dismissed; the
    others are held against the members, exactly. First the likeliest partner of each block, then what is left between
@@ -27,7 +31,6 @@ an id have a size but no component (null). Repeated rows give repeated rows.
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +38,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .runtime import Scratch, partitions, prepare
+from .meeting import NAMES, batch_of, by_bucket, cuts, found_in, gathered, pack_sorted, ranges, repeated, send_names, unpack_sorted
+from .runtime import Scratch, id_map, partitions, picked, prepare
 from .spans import DARK_BYTES, LOWER, U64, blocks, gram_hashes, hash_runs, mix, pack, runs, unpack
 
-SHINGLE, KEYS, DEPTH, BLOCK = 5, 4, 4, 128
-#: Cells of the sketch, bits of the map of involved documents, entries that a task gathers before it sends them on.
-CELL_BITS, MAP_BITS, GATHERED = 18, 23, 1 << 20
+SHINGLE, KEYS, DEPTH, BLOCK, TILE = 5, 4, 4, 128, 256
 _SALTS = [U64(0xA0761D6478BD642F * (2 * k + 1) & (1 << 64) - 1) for k in range(KEYS)]
 
 
@@ -66,153 +68,164 @@ def _signed(x) -> int:
     return int(np.uint64(x).astype(np.int64))
 
 
-def cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> U64(64 - CELL_BITS)).astype(np.int64)
-
-
-def summarize(docs: DataFrame) -> DataFrame:
-    """(id, text) -> (id, n, s1, s2, keys) a row; and for each task one row with its counts of cells."""
+def named(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """(home, text) -> shingles, to meet."""
+    gather = gathered(n_buckets)
 
     def run(batches):
-        counts = np.zeros(1 << CELL_BITS, np.int64)
+        parts, size = [], 0
         for batch in batches:
-            rows, seen = [], []
-            for tokens in shingle_sets(batch.column("text")):
-                if not len(tokens):
-                    rows.append((0, 0, 0, []))
-                    continue
-                spread = mix(tokens ^ _SALTS[0])
-                keys = [_signed(spread.min())] + [_signed(mix(tokens + s).min()) for s in _SALTS[1:]]
-                rows.append((len(tokens), _signed(spread.sum(dtype=U64)), _signed(np.bitwise_xor.reduce(mix(spread + _SALTS[1]))), keys))
-                seen.append(tokens)
-            if seen:
-                counts += np.bincount(cells(np.concatenate(seen)), minlength=1 << CELL_BITS)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))), pa.nulls(len(rows), pa.binary())], ["id", "n", "s1", "s2", "keys", "sketch"])
-        if counts.any():
-            one = pa.array([None], pa.int64())
-            yield pa.RecordBatch.from_arrays([one, one, one, one, pa.array([None], pa.list_(pa.int64())), pa.array([pack(counts)], pa.binary())], ["id", "n", "s1", "s2", "keys", "sketch"])
-
-    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, keys array<long>, sketch binary")
-
-
-def ranks(sketches: DataFrame) -> np.ndarray:
-    """For each cell how frequent its tokens are: 0 up to four times the mean, then one more for each doubling.
+            for home, tokens in zip(batch.column("home").to_pylist(), shingle_sets(batch.column("text")), strict=True):
+                if len(tokens):
+                    parts.append((tokens, home))
+                    size += len(tokens)
+                if size >= gather:
+                    yield send_names(parts, n_buckets)
+                    parts, size = [], 0
+        if parts:
+            yield send_names(parts, n_buckets)
 
-    Partial sums of a fixed size and number come to the driver.
-    """
+    return docs.mapInArrow(run, NAMES)
 
-    def run(batches):
-        total = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
-            for raw in batch.column("sketch").to_pylist():
-                total += unpack(raw, np.int64)
-        yield pa.RecordBatch.from_pydict({"sketch": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    total = np.zeros(1 << CELL_BITS, np.int64)
-    for row in sketches.select("sketch").coalesce(8).mapInArrow(run, "sketch binary").collect():
-        total += np.frombuffer(zlib.decompress(row.sketch), np.int64)
-    usual = 4 * total.mean() + 16
-    return np.clip(np.ceil(np.log2(np.maximum(total, 1) / usual)), 0, 31).astype(np.uint8)
+_SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64())), ("tokens", pa.binary())])
 
 
-def prefix(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first tokens of a set in the common order, as 64-bit keys: five bits of rank, the rest of hash.
+def sets(rows: DataFrame) -> DataFrame:
+    """Shared shingles (kind 0) and texts (kind 1) by home -> (id, n, s1, s2, keys, tokens) for each text.
 
-    The last bit marks the tokens that are enough where the other set isn't smaller: linked sets then share 6/7 of
-    this one. Where it is smaller, three quarters of this one are shared.
+    s1 and s2 tell sets apart. keys (least hashes) and tokens (the shared shingles) are null if the set can't link.
     """
-    n = len(tokens)
-    most, few = (min(n, n - math.ceil(share * n) + DEPTH) for share in (3 / 4, 6 / 7))
-    keys = (rank[cells(tokens)].astype(U64) << U64(59) | (mix(tokens) >> U64(5))) & ~U64(1)
-    keys = np.partition(keys, [few - 1, most - 1])[:most]
-    keys[:few] |= U64(1)
-    return keys
-
-
-def id_map(ids: DataFrame) -> np.ndarray:
-    """A bit for each hashed id: a set of ids in fixed space. An id that is missing from it isn't among them."""
 
     def run(batches):
-        out = np.zeros(1 << MAP_BITS, bool)
+        now, parts, table = None, [], None
         for batch in batches:
-            out[_slots(batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64))] = True
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([zlib.compress(np.packbits(out).tobytes(), 1)], pa.binary())})
-
-    out = np.zeros(1 << MAP_BITS >> 3, np.uint8)
-    for row in ids.where("id is not null").select("id").coalesce(8).mapInArrow(run, "bits binary").collect():
-        out |= np.frombuffer(zlib.decompress(row.bits), np.uint8)
-    return out
+            out, kinds = [], batch.column("kind").to_pylist()
+            columns = [batch.column(c).to_pylist() for c in ("home", "id", "names")]
+            for kind, home, doc_id, names, tokens in zip(kinds, *columns, shingle_sets(batch.column("text")), strict=True):
+                if home != now:
+                    now, parts, table = home, [], None
+                if kind == 0:
+                    parts.append(unpack_sorted(names))
+                    continue
+                if table is None:
+                    table, parts = np.unique(np.concatenate(parts)) if parts else np.zeros(0, U64), []
+                n = len(tokens)
+                if not n:
+                    out.append((doc_id, 0, 0, 0, None, None))
+                    continue
+                spread = mix(tokens ^ _SALTS[0])
+                s1, s2 = _signed(spread.sum(dtype=U64)), _signed(np.bitwise_xor.reduce(mix(spread + _SALTS[1])))
+                shared = tokens[found_in(tokens, table)]
+                keys = tokens_of = None
+                if 4 * len(shared) >= 3 * n:
+                    keys = [_signed(mix(shared + s).min()) for s in _SALTS]
+                    tokens_of = pack_sorted(shared)
+                out.append((doc_id, n, s1, s2, keys, tokens_of))
+            if out:
+                yield batch_of(out, _SETS)
 
+    return rows.mapInArrow(run, "id long, n long, s1 long, s2 long, keys array<long>, tokens binary")
 
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(U64)) >> U64(64 - MAP_BITS)).astype(np.int64)
 
+def _gatherings(batches, gather: int):
+    """(home, number, ids, sizes, tokens, answers), one gathering of a home's sets after another.
 
-def picked(docs: DataFrame, bits: np.ndarray, inside: bool, id_col: str = "id") -> DataFrame:
-    """The documents whose id is (or isn't) in the map. Rows without id are none of either."""
-    known = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
+    Answers (kind 0) come before sets (kind 1), and sets by id and digest, so gatherings are the same whenever made.
+    """
+    now, number, ids, sizes, parts, size, answers = None, 0, [], [], [], 0, {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["home"] != now:
+                if ids:
+                    yield now, number, ids, sizes, parts, answers
+                now, number, ids, sizes, parts, size, answers = row["home"], 0, [], [], [], 0, {}
+            if row["kind"] == 0:
+                answers.setdefault(row["number"], []).append((row["bucket"], row["data"]))
+                continue
+            ids.append(row["id"])
+            sizes.append(row["n"])
+            parts.append(unpack_sorted(row["data"]))
+            size += len(parts[-1])
+            if size >= gather:
+                yield now, number, ids, sizes, parts, answers
+                number, ids, sizes, parts, size = number + 1, [], [], [], 0
+    if ids:
+        yield now, number, ids, sizes, parts, answers
+
+
+def ask(rows: DataFrame, n_buckets: int) -> DataFrame:
+    """Sets by home -> (bucket, home, number, keys, counts): each gathering's tokens and in how many of its sets they are."""
+    gather = gathered(n_buckets)
+    schema = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("number", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        have = known.value
-        for batch in batches:
-            ids = batch.column(id_col)
-            slots = _slots(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            keep = ((have[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1) == inside) & ids.is_valid().to_numpy(zero_copy_only=False)
-            if keep.any():
-                yield batch.filter(pa.array(keep))
+        for home, number, _, _, parts, _ in _gatherings(batches, gather):
+            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+            if len(keys):
+                yield batch_of([(b, home, number, pack_sorted(keys[x:y]), pack(counts[x:y])) for b, x, y in cuts(ranges(keys, n_buckets))], schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, "bucket int, home int, number int, keys binary, counts binary")
 
 
-def entries(docs: DataFrame, rank: np.ndarray, n_buckets: int) -> DataFrame:
-    """(id, text) -> blobs (bucket, tokens, ids): the matrix entries of each document, dealt by token."""
-    known = docs.sparkSession.sparkContext.broadcast(rank)  # of fixed size
+def answer(asked: DataFrame) -> DataFrame:
+    """For each row of keys one byte a key: the logarithm of its number of sets, rounded up (0: one set)."""
 
-    def run(batches):
-        rank, gathered, size = known.value, [], 0
+    def work(rows):
+        parts = [unpack_sorted(r.pop("keys")) for r in rows]
+        keys = np.concatenate(parts)
+        counts = np.concatenate([unpack(r.pop("counts"), np.int64) for r in rows])
+        order = np.argsort(keys)
+        first = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
+        total = np.add.reduceat(counts[order], first)
+        level = np.empty(len(keys), np.uint8)
+        level[order] = np.repeat(np.minimum(np.ceil(np.log2(total)), 31).astype(np.uint8), np.diff(np.append(first, len(keys))))
+        out, at = [], 0
+        for row, p in zip(rows, parts, strict=True):
+            out.append((row["bucket"], row["home"], row["number"], pack(level[at : at + len(p)])))
+            at += len(p)
+        yield batch_of(out, pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("number", pa.int32()), ("levels", pa.binary())]))
 
-        def send():
-            keys = np.concatenate([k for k, _ in gathered])
-            ids = np.repeat(np.array([i for _, i in gathered], np.int64), [len(k) for k, _ in gathered])
-            bucket = (mix(keys & ~U64(1)) % U64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            keys, ids, bucket = keys[order], ids[order], bucket[order]
-            found, first = np.unique(bucket, return_index=True)
-            ends = [*first[1:].tolist(), len(bucket)]
-            rows = [(b, keys[a:e].tobytes(), pack(ids[a:e])) for b, a, e in zip(found.tolist(), first.tolist(), ends, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "tokens", "ids"])
+    return by_bucket(asked, "bucket int, home int, number int, levels binary", work)
 
-        for batch in batches:
-            for doc_id, tokens in zip(batch.column("id").to_pylist(), shingle_sets(batch.column("text")), strict=True):
-                if len(tokens):
-                    gathered.append((prefix(tokens, rank), doc_id))
-                    size += len(gathered[-1][0])
-            if size >= GATHERED:
-                yield send()
-                gathered, size = [], 0
-        if gathered:
-            yield send()
 
-    return docs.mapInArrow(run, "bucket int, tokens binary, ids binary")
+def prefix(tokens: np.ndarray, level: np.ndarray, n: int) -> np.ndarray:
+    """The first tokens of a set of n in the common order, as 64-bit keys: five bits of level, the rest of hash.
+
+    Tokens of one set (level 0, or not among tokens at all) stand first and are left out. The last bit marks the tokens
+    that are enough where the other set isn't smaller: linked sets then share 6/7 of this one. Where it is smaller, three
+    quarters of this one are shared. Empty if the set can't link.
+    """
+    tokens, level = tokens[level > 0], level[level > 0]
+    if 4 * len(tokens) < 3 * n:
+        return tokens[:0]
+    most, few = (min(n, n - math.ceil(share * n) + DEPTH) - (n - len(tokens)) for share in (3 / 4, 6 / 7))
+    keys = (level.astype(U64) << U64(59) | (mix(tokens) >> U64(5))) & ~U64(1)
+    keys = np.sort(keys)[:most]
+    keys[: max(few, 0)] |= U64(1)
+    return keys
 
 
-def by_bucket(blobs: DataFrame, schema: str, work, order: tuple[str, ...] = ()) -> DataFrame:
-    """work(list of rows) -> record batch, for each bucket; only one bucket's blobs are held at a time."""
-    parts = partitions(blobs.sparkSession)
+def entries(rows: DataFrame, n_buckets: int) -> DataFrame:
+    """Levels and sets by home -> blobs (bucket, tokens, ids): the matrix entries of each set, dealt by token."""
+    gather = gathered(n_buckets)
 
     def run(batches):
-        now, rows = None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != now:
-                    if rows:
-                        yield from work(rows)
-                    now, rows = row["bucket"], []
-                rows.append(row)
-        if rows:
-            yield from work(rows)
+        for _, number, ids, sizes, parts, answers in _gatherings(batches, gather):
+            keys = np.unique(np.concatenate(parts))
+            levels = dict(answers.pop(number, ()))
+            level = np.concatenate([unpack(levels[b], np.uint8) for b, _, _ in cuts(ranges(keys, n_buckets))]) if len(keys) else np.zeros(0, np.uint8)
+            found = [prefix(p, level[np.searchsorted(keys, p)], n) for p, n in zip(parts, sizes, strict=True)]
+            tokens = np.concatenate(found)
+            of = np.repeat(np.array(ids, np.int64), [len(f) for f in found])
+            bucket = ranges(mix(tokens & ~U64(1)), n_buckets)
+            order = np.argsort(bucket, kind="stable")
+            tokens, of, bucket = tokens[order], of[order], bucket[order]
+            out = [(b, tokens[x:y].tobytes(), pack(of[x:y])) for b, x, y in cuts(bucket)]
+            if out:
+                yield batch_of(out, pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("ids", pa.binary())]))
 
-    return blobs.repartition(parts, "bucket").sortWithinPartitions("bucket", *order).mapInArrow(run, schema)
+    return rows.mapInArrow(run, "bucket int, tokens binary, ids binary")
 
 
 def shared_entries(blobs: DataFrame) -> DataFrame:
@@ -256,80 +269,92 @@ def may_link(x: str, y: str) -> Column:
 
 
 def block_pairs(cells_of: DataFrame) -> DataFrame:
-    """(token, root, block, low, high, few) -> (x, y, shared): pairs of blocks of different groups that share tokens.
+    """Cells by token and tile -> (x, y, shared and what is known of both): pairs of blocks of different groups that share tokens.
 
-    x is of the group with the greater root. A token counts if it is one of the few of either. low and high are the least and greatest set sizes of the block's entries.
+    A cell is (token, tile, chunk, tiles of two chunks, few, block and its l: least and h: greatest set size, r: root,
+    c: number of sets, low and high: sizes of the sets that have the token). x is of the group with the greater root.
+    A token counts if it is one of the few of either.
     """
     parts = partitions(cells_of.sparkSession)
+    known = ("block", "l", "h", "r", "c")
+    names = [f"{s}{k}" for s in "xy" for k in ("", *known[1:])] + ["shared"]
+    schema = pa.schema([(c, pa.int64()) for c in names])
 
     def run(batches):
         count: dict = {}
 
         def send():
-            keys = list(count)
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(count.values()), pa.int64())], ["x", "y", "shared"])
+            out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*((*x, *y, k) for (x, y), k in count.items()), strict=True)], schema=schema)
             count.clear()
             return out
 
         def add(rows):
-            root, block, low, high, few = (np.array([r[j] for r in rows], np.int64) for j in range(5))
+            root, low, high, few, chunk = (np.array([r[j] for r in rows], np.int64) for j in (3, 5, 6, 7, 8))
+            one, two = rows[0][9], rows[0][10]
+            infos = [tuple(r[:5]) for r in rows]
             for i in range(len(root)):
                 fits = (root < root[i]) & (3 * low <= 4 * high[i]) & (3 * low[i] <= 4 * high) & (few | few[i] > 0)
-                for y in block[fits].tolist():
-                    pair = rows[i][1], y
+                if one != two:  # pairs within a chunk are counted by the chunk's own tile
+                    fits &= chunk != chunk[i]
+                for j in np.flatnonzero(fits).tolist():
+                    pair = infos[i], infos[j]
                     count[pair] = count.get(pair, 0) + 1
-                if len(count) > 200_000:
+                if len(count) > 50_000:
                     yield send()
 
         now, rows = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("token", "root", "block", "low", "high", "few")]
-            for token, *row in zip(*columns, strict=True):
-                if token != now:
+            columns = [batch.column(c).to_pylist() for c in ("token", "tile", *known, "low", "high", "few", "chunk", "one", "two")]
+            for token, tile, *row in zip(*columns, strict=True):
+                if (token, tile) != now:
                     if rows:
                         yield from add(rows)
-                    now, rows = token, []
+                    now, rows = (token, tile), []
                 rows.append(row)
         if rows:
             yield from add(rows)
         if count:
             yield send()
 
-    return cells_of.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(run, "x long, y long, shared long")
+    dealt = cells_of.repartition(parts, "token", "tile").sortWithinPartitions("token", "tile")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def tiled(cells_of: DataFrame) -> DataFrame:
+    """Cells whose token leads out of a group, once for each tile of two chunks of about TILE of the token's blocks."""
+    of = cells_of.groupBy("token").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.ceil(F.count("*") / TILE).cast("int").alias("chunks")).where("r0 <> r1")
+    cells_of = cells_of.join(of.select("token", "chunks"), "token").withColumn("chunk", F.pmod(F.xxhash64("block"), F.col("chunks")).cast("int"))
+    both = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, "chunk").alias("one"), F.greatest(k, "chunk").alias("two")))
+    return cells_of.select("*", F.explode(both).alias("t")).select("*", "t.one", "t.two", (F.col("t.one").cast("long") * F.col("chunks") + F.col("t.two")).alias("tile")).drop("t", "chunks")
 
 
 def opened(rows: DataFrame) -> DataFrame:
-    """Sets that link, among rows (unit, kind, id, s1, text): members (kind 0) of each unit against its queries (kind 1).
+    """Sets that link, among rows (unit, kind, id, n, tokens): members (kind 0) of each unit against its queries (kind 1).
 
     A unit's members are held as a group with the union of their tokens; queries stream past. A query whose overlap
     with the union is too small is dismissed; otherwise members are tried until one links, which is all that its
-    component needs. Rows whose text isn't the one that was summarized (another row of the same id) are passed over.
+    component needs.
     """
 
     def run(batches):
         now, members, union = None, [], None
         for batch in batches:
             found_a, found_b = [], []
-            columns = [batch.column(c).to_pylist() for c in ("unit", "kind", "id", "s1")]
-            for unit, kind, doc_id, digest, tokens in zip(*columns, shingle_sets(batch.column("text")), strict=True):
+            for unit, kind, doc_id, n, tokens in zip(*(batch.column(c).to_pylist() for c in ("unit", "kind", "id", "n", "tokens")), strict=True):
                 if unit != now:
                     now, members, union = unit, [], None
-                if _signed(mix(tokens ^ _SALTS[0]).sum(dtype=U64)) != digest:
-                    continue
+                tokens = unpack_sorted(tokens)
                 if kind == 0:
-                    members.append((doc_id, tokens))
+                    members.append((doc_id, n, tokens))
                     continue
                 if not members:
                     continue
                 if union is None:
-                    union = np.unique(np.concatenate([m for _, m in members]))
-                n = len(tokens)
-                if len(members) > 1:
-                    at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
-                    if 4 * int((union[at] == tokens).sum()) < 3 * n:
-                        continue
-                for other, m in members:
-                    if 3 * len(m) <= 4 * n and 3 * n <= 4 * len(m) and linked(len(np.intersect1d(tokens, m, assume_unique=True)), n, len(m)):
+                    union = np.unique(np.concatenate([m for _, _, m in members]))
+                if len(members) > 1 and 4 * int(found_in(tokens, union).sum()) < 3 * n:
+                    continue
+                for other, m, theirs in members:
+                    if 3 * m <= 4 * n and 3 * n <= 4 * m and linked(int(found_in(tokens, theirs).sum()), n, m):
                         found_a.append(doc_id)
                         found_b.append(other)
                         break
@@ -339,62 +364,79 @@ def opened(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def open_units(docs: DataFrame, units: DataFrame) -> DataFrame:
+def open_units(live: DataFrame, units: DataFrame) -> DataFrame:
     """units (unit, kind, id, s1) -> links (a, b). A unit with many queries is dealt over several tasks, each with all members."""
-    parts = partitions(docs.sparkSession)
+    parts = partitions(live.sparkSession)
     fan = units.where("kind = 1").groupBy("unit").agg(F.ceil(F.count("*") / 256).cast("int").alias("fan"))
     units = units.join(fan, "unit")
     members = units.where("kind = 0").select("unit", "kind", "id", "s1", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"))
     queries = units.where("kind = 1").select("unit", "kind", "id", "s1", F.pmod(F.xxhash64("id"), F.col("fan")).cast("int").alias("part"))
     wanted = members.union(queries).select(F.xxhash64("unit", "part").alias("unit"), "kind", "id", "s1")
-    texts = picked(docs, id_map(units), True)
-    rows = texts.join(wanted, "id").select("unit", "kind", "id", "s1", "text")
+    rows = live.join(wanted, ["id", "s1"]).select("unit", "kind", "id", "n", "tokens")
     return opened(rows.repartition(parts, "unit").sortWithinPartitions("unit", "kind", "id"))
 
 
+def stars_of(live: DataFrame, parts: int) -> DataFrame:
+    """(x, xs, y, ys): for each min-hash key of several sets its first set, and each other set whose size allows a link.
+
+    Keys of more than a quarter of an even share of all rows are at most 4 * KEYS for each partition: their first sets
+    are broadcast, so the rows of such a key stay where they are.
+    """
+    keyed = live.select(F.col("id").alias("rep"), "s1", "n", F.posexplode("keys").alias("k", "key"))
+    heads = keyed.groupBy("k", "key").agg(F.min_by(F.struct("rep", "s1", "n"), F.struct("rep", "s1")).alias("head"), F.count("*").alias("size")).where("size > 1")
+    hot = F.col("size") * 4 * parts >= live.count()
+    many, rest = heads.where(hot).select("k", "key", "head"), heads.where(~hot).select("k", "key", "head")
+    many = F.broadcast(many)
+    pairs = keyed.join(many, ["k", "key"]).unionByName(keyed.join(many, ["k", "key"], "left_anti").join(rest, ["k", "key"]))
+    pairs = pairs.where("(rep, s1) <> (head.rep, head.s1) and 3 * n <= 4 * head.n and 3 * head.n <= 4 * n")
+    return pairs.select(F.col("head.rep").alias("x"), F.col("head.s1").alias("xs"), F.col("rep").alias("y"), F.col("s1").alias("ys")).distinct()
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id_col (long), n_shingles, component_id (the least id that links lead to, its own included)."""
     spark = prepare(docs.sparkSession)
-    scratch = Scratch(spark, "jaccard")
+    scratch, parts = Scratch(spark, "jaccard"), partitions(spark)
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    summary = scratch.table(summarize(source))
-    rank = ranks(summary.where("sketch is not null"))
-    stats = summary.where("sketch is null").drop("sketch")
-    some = stats.where("n > 0 and id is not null")
-    reps = scratch.table(some.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
+    source = source.select(F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int").alias("home"), "id", "text")
+    none = lambda kind: F.lit(None).cast(kind)
+    shared = repeated(named(source, parts)).select("home", F.lit(0).alias("kind"), none("long").alias("id"), none("string").alias("text"), "names")
+    rows = shared.union(source.select("home", F.lit(1), "id", "text", none("binary")))
+    every = scratch.table(sets(rows.repartitionById(parts, F.col("home")).sortWithinPartitions("home", "kind")))
+    stats = every.select("id", "n", "s1", "s2")
+    reps = stats.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
+
+    # One row for each set that may link; an id may have several sets.
+    able = every.where("tokens is not null and id is not null")
+    firsts = able.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"))
+    live = able.join(firsts, ["n", "s1", "s2", "id"], "left_semi").dropDuplicates(["n", "s1", "s2", "id"])
+    live = scratch.table(live.select(F.pmod(F.xxhash64("id", "s1"), F.lit(parts)).cast("int").alias("home"), "id", "n", "s1", "keys", "tokens"))
 
     # Grouping: each min-hash key's first set, and the others against it.
-    keyed = reps.select("rep", "s1", "n", F.posexplode("keys").alias("k", "key"))
-    heads = keyed.groupBy("k", "key").agg(F.min_by(F.struct("rep", "s1", "n"), "rep").alias("head"), F.count("*").alias("size")).where("size > 1").drop("size")
-    stars = keyed.join(heads, ["k", "key"]).where("rep <> head.rep and 3 * n <= 4 * head.n and 3 * head.n <= 4 * n")
-    stars = scratch.table(stars.select(F.col("head.rep").alias("x"), F.col("head.s1").alias("xs"), F.col("rep").alias("y"), F.col("s1").alias("ys")).distinct(), thin=True)
-    units = stars.select(F.col("x").alias("unit"), F.lit(0).alias("kind"), F.col("x").alias("id"), F.col("xs").alias("s1")).distinct()
-    units = scratch.table(units.union(stars.select("x", F.lit(1), "y", "ys")), thin=True)
-    links = scratch.table(open_units(source, units))
+    stars = scratch.table(stars_of(live, parts), thin=True)
+    units = stars.select(F.xxhash64("x", "xs").alias("unit"), F.lit(0).alias("kind"), F.col("x").alias("id"), F.col("xs").alias("s1")).distinct()
+    units = scratch.table(units.union(stars.select(F.xxhash64("x", "xs"), F.lit(1), "y", "ys")), thin=True)
+    links = scratch.table(open_units(live, units), thin=True)
     roots = scratch.table(components(links, scratch), thin=True)
 
-    # The matrix. Only documents that aren't alone with their set have to be told apart from copies.
-    alone = id_map(some.join(reps.where("copies > 1"), ["n", "s1", "s2"], "left_semi").select("id"))
-    n_buckets = 4 * partitions(spark)
-    sure = entries(picked(source, alone, False), rank, n_buckets)
-    firsts = picked(source, alone, True).join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-    token_rows = shared_entries(sure.union(entries(firsts, rank, n_buckets)))
-    info = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "s1", "n", F.coalesce("root", "rep").alias("root"))
-    sizes = info.groupBy("root").agg(F.count("*").alias("members"))
+    # The matrix.
+    mine = live.select("home", F.lit(1).alias("kind"), "id", "n", "s1", none("int").alias("number"), none("int").alias("bucket"), F.col("tokens").alias("data"))
+    deal = lambda df: df.repartitionById(parts, F.col("home")).sortWithinPartitions("home", "kind", "id", "s1")
+    told = answer(ask(deal(mine), parts)).select("home", F.lit(0), none("long"), none("long"), none("long"), "number", "bucket", "levels")
+    token_rows = shared_entries(entries(deal(mine.union(told)), parts))
+    info = live.groupBy(F.col("id").alias("rep")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    info = info.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "low", "high", F.coalesce("root", "rep").alias("r"))
     split = F.ceil(F.col("members") / BLOCK).cast("int")
-    block = F.when(split == 1, F.col("root")).otherwise(F.xxhash64("root", F.pmod(F.xxhash64("rep"), split)))
-    info = scratch.table(info.join(sizes, "root").select("rep", "s1", "n", "root", block.alias("block")), thin=True)
-    cells_of = token_rows.join(info.select("rep", "n", "root", "block"), "rep").groupBy("token", "block", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.bool_or("few").alias("few"))
-    # Few tokens lead out of a group: only those go on.
-    cells_of = scratch.table(cells_of)
-    cells_of = cells_of.join(cells_of.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token"), "token", "left_semi")
-    sizes = info.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.first("root").alias("root"), F.count("*").alias("sets"))
-    side = lambda c: sizes.select(F.col("block").alias(c), F.col("low").alias(f"{c}l"), F.col("high").alias(f"{c}h"), F.col("root").alias(f"{c}r"), F.col("sets").alias(f"{c}c"))
-    pairs = block_pairs(cells_of).groupBy("x", "y").agg(F.sum("shared").alias("shared")).join(side("x"), "x").join(side("y"), "y")
-    pairs = scratch.table(pairs.where(may_link("x", "y")).select("x", "y", "xr", "yr", "xc", "yc", "shared"), thin=True)
+    block = F.when(split == 1, F.col("r")).otherwise(F.xxhash64("r", F.pmod(F.xxhash64("rep"), split)))
+    info = scratch.table(info.join(info.groupBy("r").agg(F.count("*").alias("members")), "r").select("rep", "low", "high", "r", block.alias("block")), thin=True)
+    whole = info.groupBy("block").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.count("*").alias("c"))
+    cells_of = token_rows.join(info.join(whole, "block"), "rep").groupBy("token", "block").agg(*(F.first(c).alias(c) for c in "lhrc"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("few").alias("few"))
+    found = block_pairs(tiled(scratch.table(cells_of)))
+    sides = [f"{s}{k}" for s in "xy" for k in ("", *"lhrc")]
+    pairs = found.groupBy(*sides).agg(F.sum("shared").alias("shared")).where(may_link("x", "y"))
+    pairs = scratch.table(pairs.select("x", "y", "xr", "yr", "xc", "yc", "shared"), thin=True)
 
     # Open: first the likeliest partner of each block, then all that is left between groups still apart.
-    found = links
+    found, sets_of = links, live.select(F.col("id").alias("rep"), "s1").join(info.select("rep", "block"), "rep")
     for last in (False, True):
         todo = pairs
         if last:
@@ -408,10 +450,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         todo = scratch.table(todo.select(query.alias("query"), unit.alias("unit")), thin=True)
         if todo.isEmpty():
             break
-        inside = info.select("block", "rep", "s1")
-        queries = todo.join(inside.withColumnRenamed("block", "query"), "query").select("unit", F.lit(1).alias("kind"), F.col("rep").alias("id"), "s1")
-        members = todo.select("unit").distinct().join(inside.withColumnRenamed("block", "unit"), "unit").select("unit", F.lit(0).alias("kind"), F.col("rep").alias("id"), "s1")
-        more = scratch.table(open_units(source, scratch.table(members.union(queries), thin=True)))
+        queries = todo.join(sets_of.withColumnRenamed("block", "query"), "query").select("unit", F.lit(1).alias("kind"), F.col("rep").alias("id"), "s1")
+        members = todo.select("unit").distinct().join(sets_of.withColumnRenamed("block", "unit"), "unit").select("unit", F.lit(0).alias("kind"), F.col("rep").alias("id"), "s1")
+        more = scratch.table(open_units(live, scratch.table(members.union(queries), thin=True)), thin=True)
         if not more.isEmpty():
             found = found.union(more)
             roots = scratch.table(components(found, scratch), thin=True)

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spans import U64, mix
+
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows in one Arrow batch. Texts may be long, so batches hold few of them.
 BATCH_ROWS = 1000
+#: Bits of a map of ids.
+MAP_BITS = 23
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -72,3 +79,38 @@ def remove(spark: SparkSession, path: str) -> None:
 def id_crc32(column: str = "doc_id"):
     """crc32 of an id written as text: what decides which rows are held out."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def id_map(ids: DataFrame) -> np.ndarray:
+    """A bit for each hashed id: a set of ids in fixed space. An id that is missing from it isn't among them."""
+
+    def run(batches):
+        out = np.zeros(1 << MAP_BITS, bool)
+        for batch in batches:
+            out[_slots(batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64))] = True
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([zlib.compress(np.packbits(out).tobytes(), 1)], pa.binary())})
+
+    out = np.zeros(1 << MAP_BITS >> 3, np.uint8)
+    for row in ids.where("id is not null").select("id").coalesce(8).mapInArrow(run, "bits binary").collect():
+        out |= np.frombuffer(zlib.decompress(row.bits), np.uint8)
+    return out
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(U64)) >> U64(64 - MAP_BITS)).astype(np.int64)
+
+
+def picked(docs: DataFrame, bits: np.ndarray, inside: bool, id_col: str = "id") -> DataFrame:
+    """The documents whose id is (or isn't) in the map. Rows without id are none of either."""
+    known = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
+
+    def run(batches):
+        have = known.value
+        for batch in batches:
+            ids = batch.column(id_col)
+            slots = _slots(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            keep = ((have[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1) == inside) & ids.is_valid().to_numpy(zero_copy_only=False)
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
