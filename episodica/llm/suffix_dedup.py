@@ -34,16 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard_join import by_bucket, id_map, picked
-from .runtime import Scratch, partitions, prepare
-from .spans import U64, blocks, mix, pack, powers, unpack
+from .meeting import NAMES, batch_of, by_bucket, cuts, found_in, gathered, pack_sorted, places_in, ranges, repeated, send_names, unpack_sorted
+from .runtime import Scratch, id_map, partitions, picked, prepare
+from .spans import U64, blocks, mix, powers
 
 LENGTH, CYCLE = 50, 31
 TUPLE = LENGTH - CYCLE + 1
 #: A perfect difference set modulo CYCLE.
 COVER = (0, 1, 3, 8, 12, 18)
-#: Bytes that are hashed at once, entries that a task gathers at least.
-CHUNK, GATHERED = 1 << 21, 1 << 21
+#: Bytes that are hashed at once.
+CHUNK = 1 << 21
 _SAMPLED = np.isin(np.arange(CYCLE), COVER)
 
 
@@ -66,88 +66,33 @@ def string_hashes(data: np.ndarray, places: np.ndarray, width: int) -> np.ndarra
 def samples(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, names) of the sampled tuples of a block of texts, in order."""
     size = np.diff(offsets)
-    local = np.arange(len(data)) - np.repeat(offsets[:-1], size)
-    places = np.flatnonzero(_SAMPLED[local % CYCLE] & (local + TUPLE <= np.repeat(size, size)))
+    if len(size) == 1:  # may be very long
+        places = np.arange(len(data) // CYCLE + 1)[:, None] * CYCLE + np.array(COVER)
+        places = places[places + TUPLE <= len(data)]
+    else:
+        local = np.arange(len(data)) - np.repeat(offsets[:-1], size)
+        places = np.flatnonzero(_SAMPLED[local % CYCLE] & (local + TUPLE <= np.repeat(size, size)))
     return places, string_hashes(data, places, TUPLE)
 
 
-def suspects(data: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, keys) of the strings of one text that hold a sampled tuple with one of the (sorted) names."""
-    if len(data) < LENGTH or not len(names):
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    places, own = samples(data, np.array([0, len(data)]))
-    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
-    places = places[names[at] == own]
+def suspects(data: np.ndarray, offsets: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, keys) of the strings of a block of texts that hold a sampled tuple with one of the (sorted) names."""
+    places, own = samples(data, offsets)
+    places = places[found_in(own, names)]
     edge = np.zeros(len(data) + 1, np.int32)
-    np.add.at(edge, np.maximum(places - CYCLE + 1, 0), 1)
+    np.add.at(edge, np.maximum(places - CYCLE + 1, offsets[np.searchsorted(offsets, places, "right") - 1]), 1)
     np.add.at(edge, places + 1, -1)
-    starts = np.flatnonzero(np.cumsum(edge[: len(data) - LENGTH + 1]) > 0)
+    inside = np.cumsum(edge[:-1], dtype=np.int32) > 0
+    inside[np.maximum(len(data) - LENGTH + 1, 0) :] = False
+    starts = np.flatnonzero(inside)
+    ends = offsets[np.searchsorted(offsets, starts, "right")]
+    starts = starts[starts + LENGTH <= ends]
     return starts, string_hashes(data, starts, LENGTH)
 
 
-def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
-    """Which of n equal ranges each 64-bit key falls into."""
-    return ((keys >> U64(32)) * U64(n) >> U64(32)).astype(np.int32)
-
-
-def _pack_sorted(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=U64(0)))
-
-
-def _unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data, U64), dtype=U64)
-
-
-def _cuts(ids: np.ndarray):
-    """(value, first, end) of each run of equal items."""
-    if not len(ids):
-        return
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    yield from zip(ids[first].tolist(), first.tolist(), [*first[1:].tolist(), len(ids)], strict=True)
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
-
-
-_NAMES = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("told", pa.int8()), ("names", pa.binary())])
-#: Of a row of names: one document's, as far as the task knows; repeated, for the range; repeated, for the home.
-ONE, MANY, HOME = 0, 1, 2
-
-
 def named(docs: DataFrame, bounds: np.ndarray, n_buckets: int) -> DataFrame:
-    """(id, text) -> names of sampled tuples (bucket, home, told, names).
-
-    Names that several of a task's documents have are repeated whatever others hold: their homes are told directly
-    (the home's number is the bucket then), their range gets one entry.
-    """
-    gather = max(GATHERED, 64 * n_buckets)
-
-    def send(parts):
-        names = np.concatenate([p[0] for p in parts])
-        row = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        home = np.array([p[1] for p in parts], np.int32)
-        order = np.argsort(names, kind="stable")
-        names, row = names[order], row[order]
-        fresh = np.ones(len(names), bool)
-        fresh[1:] = names[1:] != names[:-1]
-        first = np.flatnonzero(fresh)
-        many = row[first] != row[np.append(first[1:], len(names)) - 1]
-        one = first[~many]
-        rows = []
-        for told, at in ((ONE, one), (HOME, np.flatnonzero(np.repeat(many, np.diff(np.append(first, len(names))))))):
-            # By home and then as sorted: within a home the names ascend, and so do their ranges.
-            of = home[row[at]]
-            at = at[np.argsort(of, kind="stable")]
-            for h, a, e in _cuts(home[row[at]]):
-                mine = names[at[a:e]]
-                if told == HOME:
-                    rows.append((h, h, told, _pack_sorted(np.unique(mine))))
-                else:
-                    rows += [(b, h, told, _pack_sorted(mine[x:y])) for b, x, y in _cuts(_ranges(mine, n_buckets))]
-        every = names[first[many]]
-        rows += [(b, -1, MANY, _pack_sorted(every[x:y])) for b, x, y in _cuts(_ranges(every, n_buckets))]
-        return _batch(rows, _NAMES)
+    """(id, text) -> names of sampled tuples, to meet."""
+    gather = gathered(n_buckets)
 
     def run(batches):
         parts, size = [], 0
@@ -162,35 +107,12 @@ def named(docs: DataFrame, bounds: np.ndarray, n_buckets: int) -> DataFrame:
                         parts.append((name[a:e], homes[at + k]))
                 size += len(place)
                 if size >= gather:
-                    yield send(parts)
+                    yield send_names(parts, n_buckets)
                     parts, size = [], 0
         if parts:
-            yield send(parts)
-
-    return docs.mapInArrow(run, "bucket int, home int, told byte, names binary")
+            yield send_names(parts, n_buckets)
 
-
-def repeated(entries: DataFrame) -> DataFrame:
-    """(home, names): for each home the names of its documents' tuples that other documents have too."""
-
-    def work(rows):
-        out = [(r["home"], r["names"]) for r in rows if r["told"] == HOME]
-        rows = [r for r in rows if r["told"] != HOME]
-        if rows:
-            parts = [_unpack_sorted(r.pop("names")) for r in rows]
-            every = np.sort(np.concatenate(parts))
-            twice = every[1:][every[1:] == every[:-1]]
-            known = np.unique(np.concatenate([twice, *(p for p, r in zip(parts, rows, strict=True) if r["told"] == MANY)]))
-            if len(known):
-                for p, r in zip(parts, rows, strict=True):
-                    if r["told"] == ONE:
-                        mine = p[known[np.minimum(np.searchsorted(known, p), len(known) - 1)] == p]
-                        if len(mine):
-                            out.append((r["home"], _pack_sorted(mine)))
-        if out:
-            yield _batch(out, pa.schema([("home", pa.int32()), ("names", pa.binary())]))
-
-    return by_bucket(entries, "home int, names binary", work)
+    return docs.mapInArrow(run, NAMES)
 
 
 class _Home:
@@ -201,62 +123,90 @@ class _Home:
         self.keys, self.first, self.gone = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def add(self, names: bytes):
-        self.parts.append(_unpack_sorted(names))
+        self.parts.append(unpack_sorted(names))
 
-    def strings(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def strings(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.names is None:
             self.names = np.unique(np.concatenate(self.parts)) if self.parts else np.zeros(0, U64)
             self.parts = None
-        data = np.frombuffer(raw, np.uint8)
-        return data, *suspects(data, self.names)
-
-    def fresh(self, keys: list[np.ndarray], ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted keys that the home hasn't had yet, each with its first document."""
-        every = np.concatenate(keys) if keys else np.zeros(0, U64)
-        made, at = np.unique(every, return_index=True)  # the first of equals
-        owner = np.repeat(np.array(ids, np.int64), [len(k) for k in keys])[at]
-        if len(self.keys):
-            new = self.keys[np.minimum(np.searchsorted(self.keys, made), len(self.keys) - 1)] != made
-            made, owner = made[new], owner[new]
-        return made, owner
+        return suspects(data, offsets, self.names)
+
+    def fresh(self, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of strings with their documents: sorted keys that the home hasn't had yet, each with its first document."""
+        if not len(keys):
+            return keys, ids
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        made, owner = keys[first], np.minimum.reduceat(ids, first)
+        new = ~found_in(made, self.keys)
+        return made[new], owner[new]
 
     def learn(self, keys: np.ndarray, first: np.ndarray, gone: np.ndarray):
         """gone: whether a home before this one has the key."""
-        every = np.concatenate([self.keys, keys])
-        order = np.argsort(every, kind="stable")
-        self.keys, self.first, self.gone = every[order], np.concatenate([self.first, first])[order], np.concatenate([self.gone, gone])[order]
-
-    def removed(self, keys: np.ndarray, doc_id: int) -> np.ndarray:
         at = np.searchsorted(self.keys, keys)
-        return self.gone[at] | (self.first[at] < doc_id)
+        self.keys, self.first, self.gone = (np.insert(mine, at, new) for mine, new in ((self.keys, keys), (self.first, first), (self.gone, gone)))
+
+    def removed(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        at = places_in(keys, self.keys)
+        return self.gone[at] | (self.first[at] < ids)
+
+
+class _Gathering:
+    """Blocks of a home's texts with their suspect strings."""
+
+    def __init__(self, number: int):
+        self.number, self.size, self.blocks = number, 0, []
+
+    def add(self, ids, shas, data, offsets, starts, keys):
+        self.blocks.append((ids, shas, data, offsets, starts, keys))
+
+    def strings(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, ids of their documents)"""
+        keys = [b[5] for b in self.blocks]
+        ids = [b[0][np.searchsorted(b[3], b[4], "right") - 1] for b in self.blocks]
+        return np.concatenate(keys), np.concatenate(ids)
 
 
 def _by_home(batches, gather: int):
-    """(home, state, number of the gathering, its documents' rows, their strings, answers), one gathering after another.
+    """(home, state, gathering, answers to it), one gathering after another.
 
     Rows of a home come as names (kind 0), answers (kind 1), texts (kind 2) by ascending id and text, so a home's
-    gatherings are the same whenever they are made.
+    gatherings are the same whenever they are made: each text is added on its own account, never by batch.
     """
-    now, state, number, rows, found, size, answers = None, None, 0, [], [], 0, {}
+    now, state, held, answers = None, None, None, {}
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["home"] != now:
-                if rows:
-                    yield now, state, number, rows, found, answers
-                now, state, number, rows, found, size, answers = row["home"], _Home(), 0, [], [], 0, {}
-            if row["kind"] == 0:
-                state.add(row["data"])
-            elif row["kind"] == 1:
-                answers.setdefault(row["number"], []).append((row["bucket"], row["data"]))
-            else:
-                rows.append(row)
-                found.append(state.strings((row.pop("text") or "").encode()))
-                size += len(found[-1][1]) + len(found[-1][0]) // 8
-                if size >= gather:
-                    yield now, state, number, rows, found, answers
-                    number, rows, found, size = number + 1, [], [], 0
-    if rows:
-        yield now, state, number, rows, found, answers
+        homes, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("home", "kind"))
+        for home, x, y in cuts(homes):
+            if home != now:
+                if held and held.blocks:
+                    yield now, state, held, answers.pop(held.number, {})
+                now, state, held, answers = home, _Home(), _Gathering(0), {}
+            z = x + int(np.searchsorted(kinds[x:y], 2))
+            for row in batch.slice(x, z - x).select(["kind", "number", "bucket", "data"]).to_pylist():
+                if row["kind"] == 0:
+                    state.add(row["data"])
+                else:
+                    answers.setdefault(row["number"], {})[row["bucket"]] = row["data"]
+            part = batch.slice(z, y - z)
+            ids, shas = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64) if z < y else None, part.column("sha").to_pylist()
+            for a, e, data, offsets in blocks(part.column("text")):
+                starts, keys = state.strings(data, offsets)
+                cut = np.searchsorted(starts, offsets)
+                weight = held.size + np.cumsum(np.diff(cut) + np.diff(offsets) // 8)  # by text, whatever block it came in
+                at = 0  # the first text of the block that isn't held yet
+                while at < e - a:
+                    to = min(at + int(np.searchsorted(weight[at:], gather)) + 1, e - a)
+                    low, high = offsets[at], offsets[to]
+                    held.add(ids[a + at : a + to], shas[a + at : a + to], data[low:high], offsets[at : to + 1] - low, starts[cut[at] : cut[to]] - low, keys[cut[at] : cut[to]])
+                    if weight[to - 1] >= gather:
+                        yield now, state, held, answers.pop(held.number, {})
+                        held = _Gathering(held.number + 1)
+                        weight = weight - weight[to - 1]
+                    at = to
+                held.size = int(weight[-1])
+    if held and held.blocks:
+        yield now, state, held, answers.pop(held.number, {})
 
 
 _ASKED = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("number", pa.int32()), ("keys", pa.binary())])
@@ -264,14 +214,14 @@ _ASKED = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("number", pa.
 
 def ask(rows: DataFrame, n_buckets: int) -> DataFrame:
     """Names and texts by home -> each home's distinct strings, by ranges of keys."""
-    gather = max(GATHERED, 64 * n_buckets)
+    gather = gathered(n_buckets)
 
     def run(batches):
-        for home, state, number, rows, found, _ in _by_home(batches, gather):
-            keys, first = state.fresh([f[2] for f in found], [r["id"] for r in rows])
+        for home, state, held, _ in _by_home(batches, gather):
+            keys, first = state.fresh(*held.strings())
             state.learn(keys, first, np.zeros(len(keys), bool))
             if len(keys):
-                yield _batch([(b, home, number, _pack_sorted(keys[x:y])) for b, x, y in _cuts(_ranges(keys, n_buckets))], _ASKED)
+                yield batch_of([(b, home, held.number, pack_sorted(keys[x:y])) for b, x, y in cuts(ranges(keys, n_buckets))], _ASKED)
 
     return rows.mapInArrow(run, "bucket int, home int, number int, keys binary")
 
@@ -280,20 +230,19 @@ def answer(asked: DataFrame) -> DataFrame:
     """For each row of keys one bit a key: whether a home with a smaller number has the string too."""
 
     def work(rows):
-        parts = [_unpack_sorted(r.pop("keys")) for r in rows]
+        parts = [unpack_sorted(r.pop("keys")) for r in rows]
         keys = np.concatenate(parts)
         home = np.repeat(np.array([r["home"] for r in rows], np.int32), [len(p) for p in parts])
-        order = np.argsort(keys, kind="stable")  # rows come by home: the first of adjacent equals is of the least
-        keys = keys[order]
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = keys[1:] != keys[:-1]
+        order = np.argsort(keys)
+        keys, home = keys[order], home[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])  # adjacent equals begin here
         gone = np.empty(len(keys), bool)
-        gone[order] = ~fresh
+        gone[order] = home > np.repeat(np.minimum.reduceat(home, first), np.diff(np.append(first, len(keys))))
         out, at = [], 0
         for row, p in zip(rows, parts, strict=True):
             out.append((row["bucket"], row["home"], row["number"], np.packbits(gone[at : at + len(p)]).tobytes()))
             at += len(p)
-        yield _batch(out, pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("number", pa.int32()), ("bits", pa.binary())]))
+        yield batch_of(out, pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("number", pa.int32()), ("bits", pa.binary())]))
 
     return by_bucket(asked, "bucket int, home int, number int, bits binary", work, order=("home", "number"))
 
@@ -304,29 +253,32 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def judge(rows: DataFrame, n_buckets: int) -> DataFrame:
     """Names, answers and texts by home -> (id, sha, spans, kept_sha256)."""
-    gather = max(GATHERED, 64 * n_buckets)
+    gather = gathered(n_buckets)
 
     def run(batches):
-        for _, state, number, rows, found, answers in _by_home(batches, gather):
-            keys, first = state.fresh([f[2] for f in found], [r["id"] for r in rows])
+        for _, state, held, bits in _by_home(batches, gather):
+            strings, of = held.strings()
+            keys, first = state.fresh(strings, of)
             gone = np.zeros(len(keys), bool)
-            bits = dict(answers.pop(number, ()))
-            for b, x, y in _cuts(_ranges(keys, n_buckets)):
+            for b, x, y in cuts(ranges(keys, n_buckets)):
                 gone[x:y] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=y - x).astype(bool)
             state.learn(keys, first, gone)
-            out = []
-            for row, (data, starts, own) in zip(rows, found, strict=True):
+            every, at, out = state.removed(strings, of), 0, []
+            for ids, shas, data, offsets, starts, own in held.blocks:
+                cut_here = starts[every[at : at + len(own)]]
+                at += len(own)
                 edge = np.zeros(len(data) + 1, np.int32)
-                starts = starts[state.removed(own, row["id"])] if len(own) else starts
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + LENGTH, -1)
-                covered = np.cumsum(edge[:-1]) > 0
-                turns = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8))).tolist()
-                spans = [{"start": a, "end": b} for a, b in zip(turns[::2], turns[1::2], strict=True)]
-                if spans:
-                    out.append((row["id"], row["sha"], spans, hashlib.sha256(data[~covered].tobytes()).hexdigest()))
+                np.add.at(edge, cut_here, 1)
+                np.add.at(edge, cut_here + LENGTH, -1)
+                covered = np.cumsum(edge[:-1], dtype=np.int32) > 0
+                for k in np.unique(np.searchsorted(offsets, cut_here, "right") - 1).tolist():
+                    low, high = offsets[k], offsets[k + 1]
+                    mine = covered[low:high]
+                    turns = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8))).tolist()
+                    spans = [{"start": x, "end": y} for x, y in zip(turns[::2], turns[1::2], strict=True)]
+                    out.append((int(ids[k]), shas[k], spans, hashlib.sha256(data[low:high][~mine].tobytes()).hexdigest()))
             if out:
-                yield _batch(out, pa.schema([("id", pa.int64()), ("sha", pa.string()), ("spans", _SPANS), ("kept_sha256", pa.string())]))
+                yield batch_of(out, pa.schema([("id", pa.int64()), ("sha", pa.string()), ("spans", _SPANS), ("kept_sha256", pa.string())]))
 
     return rows.mapInArrow(run, f"id long, sha string, spans {SPANS}, kept_sha256 string")
 
@@ -384,7 +336,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     empty = [none("long").alias("id"), none("string").alias("text"), none("string").alias("sha")]
     known = names.select("home", F.lit(0).alias("kind"), *empty, none("int").alias("number"), none("int").alias("bucket"), F.col("names").alias("data"))
     mine = texts.select("home", F.lit(2), "id", "text", F.sha2(F.col("text").cast("binary"), 256), none("int"), none("int"), none("binary"))
-    deal = lambda df: df.repartition(parts, "home").sortWithinPartitions("home", "kind", "id", "sha")
+    deal = lambda df: df.repartitionById(parts, F.col("home")).sortWithinPartitions("home", "kind", "id", "sha")
     answers = scratch.table(answer(ask(deal(known.union(mine)), parts)))
     told = answers.select("home", F.lit(1), *empty, "number", "bucket", "bits")
     judged = judge(deal(known.union(told).union(mine)), parts).dropDuplicates(["id", "sha"])

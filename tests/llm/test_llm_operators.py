@@ -9,7 +9,7 @@ import pytest
 
 P = pytest.importorskip("public_tokenizers")
 
-from episodica.llm import bpe_codec, decontaminate, flac, jaccard_join, langid, media, pii, quality, suffix_dedup, token_counts, token_output  # noqa: E402
+from episodica.llm import bpe_codec, decontaminate, flac, jaccard_join, langid, media, meeting, pii, quality, runtime, suffix_dedup, token_counts, token_output  # noqa: E402
 
 SCHEMA = "doc_id long, text string, n_tokens string, score string"
 RNG = random.Random(11)
@@ -174,7 +174,7 @@ def test_suffix_dedup(spark, docs):
 
 
 def test_suffix_dedup_ids_that_share_a_slot(spark):
-    assert len(set(jaccard_join._slots(np.array([398, 1540])).tolist())) == 1
+    assert len(set(runtime._slots(np.array([398, 1540])).tolist())) == 1
     rng = random.Random(9)
     one, two, copied = (sentence(30, rng) for _ in range(3))
     data = [(1, copied), (398, copied), (1540, sentence(20, rng) + one), (2000, sentence(20, rng) + one), (398, sentence(20, rng) + two), (2001, sentence(20, rng) + two)]
@@ -182,14 +182,15 @@ def test_suffix_dedup_ids_that_share_a_slot(spark):
 
 
 def test_suffix_dedup_gathers_homes_and_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "GATHERED", 300)
+    monkeypatch.setattr(meeting, "GATHERED", 300)
     rng = random.Random(12)
     shared = [sentence(14, rng) for _ in range(6)]
     data = [(rng.randrange(400), " ".join(rng.choice([*shared, sentence(3, rng), sentence(9, rng)]) for _ in range(4))) for _ in range(300)]
     long = "".join(rng.choices("abcdefgh ", k=suffix_dedup.CHUNK + 3000))
     edge = suffix_dedup.CHUNK - 40
     data += [(500, long), (90, "z" + long[edge : edge + 90]), (600, long[edge - 70 : edge + 30] + "zzz" + shared[0] * 40), (None, long[:200])]
-    for rows_of in (data, data[::-1]):
+    for batch, rows_of in ((7, data), (1000, data[::-1])):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
         assert rows(suffix_dedup.dedup(spark.createDataFrame(rows_of, "doc_id long, text string"))) == sorted(brute_dedup(data), key=str)
 
 
