@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .meeting import NAMES, batch_of, by_bucket, cuts, found_in, gathered, pack_sorted, ranges, repeated, send_names, unpack_sorted
+from .meeting import NAMES, batch_of, by_bucket, cuts, found_in, gathered, name_of, pack_sorted, ranges, repeated, send_names, unpack_sorted
 from .runtime import Scratch, id_map, partitions, picked, prepare
 from .spans import DARK_BYTES, LOWER, U64, blocks, gram_hashes, hash_runs, mix, pack, runs, unpack
 
@@ -77,7 +77,7 @@ def named(docs: DataFrame, n_buckets: int) -> DataFrame:
         for batch in batches:
             for home, tokens in zip(batch.column("home").to_pylist(), shingle_sets(batch.column("text")), strict=True):
                 if len(tokens):
-                    parts.append((tokens, home))
+                    parts.append((np.unique(name_of(tokens)), home))
                     size += len(tokens)
                 if size >= gather:
                     yield send_names(parts, n_buckets)
@@ -116,7 +116,7 @@ def sets(rows: DataFrame) -> DataFrame:
                     continue
                 spread = mix(tokens ^ _SALTS[0])
                 s1, s2 = _signed(spread.sum(dtype=U64)), _signed(np.bitwise_xor.reduce(mix(spread + _SALTS[1])))
-                shared = tokens[found_in(tokens, table)]
+                shared = tokens[found_in(name_of(tokens), table, True)]
                 keys = tokens_of = None
                 if 4 * len(shared) >= 3 * n:
                     keys = [_signed(mix(shared + s).min()) for s in _SALTS]
@@ -351,10 +351,10 @@ def opened(rows: DataFrame) -> DataFrame:
                     continue
                 if union is None:
                     union = np.unique(np.concatenate([m for _, _, m in members]))
-                if len(members) > 1 and 4 * int(found_in(tokens, union).sum()) < 3 * n:
+                if len(members) > 1 and 4 * int(found_in(tokens, union, True).sum()) < 3 * n:
                     continue
                 for other, m, theirs in members:
-                    if 3 * m <= 4 * n and 3 * n <= 4 * m and linked(int(found_in(tokens, theirs).sum()), n, m):
+                    if 3 * m <= 4 * n and 3 * n <= 4 * m and linked(int(found_in(tokens, theirs, True).sum()), n, m):
                         found_a.append(doc_id)
                         found_b.append(other)
                         break
@@ -376,18 +376,22 @@ def open_units(live: DataFrame, units: DataFrame) -> DataFrame:
     return opened(rows.repartition(parts, "unit").sortWithinPartitions("unit", "kind", "id"))
 
 
-def stars_of(live: DataFrame, parts: int) -> DataFrame:
-    """(x, xs, y, ys): for each min-hash key of several sets its first set, and each other set whose size allows a link.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows with what groups says of their keys (inner). size: how many rows a group has, of total ones.
 
-    Keys of more than a quarter of an even share of all rows are at most 4 * KEYS for each partition: their first sets
-    are broadcast, so the rows of such a key stay where they are.
+    Groups of more than a quarter of an even share of all rows are at most 4 for each partition: they are broadcast, and
+    their rows stay where they are.
     """
+    hot = F.col(size) * 4 * partitions(rows.sparkSession) >= total
+    large, rest = F.broadcast(groups.where(hot).drop(size)), groups.where(~hot).drop(size)
+    return rows.join(large, keys).unionByName(rows.join(large, keys, "left_anti").join(rest, keys))
+
+
+def stars_of(live: DataFrame) -> DataFrame:
+    """(x, xs, y, ys): for each min-hash key of several sets its first set, and each other set whose size allows a link."""
     keyed = live.select(F.col("id").alias("rep"), "s1", "n", F.posexplode("keys").alias("k", "key"))
     heads = keyed.groupBy("k", "key").agg(F.min_by(F.struct("rep", "s1", "n"), F.struct("rep", "s1")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    hot = F.col("size") * 4 * parts >= live.count()
-    many, rest = heads.where(hot).select("k", "key", "head"), heads.where(~hot).select("k", "key", "head")
-    many = F.broadcast(many)
-    pairs = keyed.join(many, ["k", "key"]).unionByName(keyed.join(many, ["k", "key"], "left_anti").join(rest, ["k", "key"]))
+    pairs = join_groups(keyed, heads, ["k", "key"], "size", KEYS * live.count())
     pairs = pairs.where("(rep, s1) <> (head.rep, head.s1) and 3 * n <= 4 * head.n and 3 * head.n <= 4 * n")
     return pairs.select(F.col("head.rep").alias("x"), F.col("head.s1").alias("xs"), F.col("rep").alias("y"), F.col("s1").alias("ys")).distinct()
 
@@ -403,7 +407,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = shared.union(source.select("home", F.lit(1), "id", "text", none("binary")))
     every = scratch.table(sets(rows.repartitionById(parts, F.col("home")).sortWithinPartitions("home", "kind")))
     stats = every.select("id", "n", "s1", "s2")
-    reps = stats.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
+    reps = stats.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
 
     # One row for each set that may link; an id may have several sets.
     able = every.where("tokens is not null and id is not null")
@@ -412,7 +416,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     live = scratch.table(live.select(F.pmod(F.xxhash64("id", "s1"), F.lit(parts)).cast("int").alias("home"), "id", "n", "s1", "keys", "tokens"))
 
     # Grouping: each min-hash key's first set, and the others against it.
-    stars = scratch.table(stars_of(live, parts), thin=True)
+    stars = scratch.table(stars_of(live), thin=True)
     units = stars.select(F.xxhash64("x", "xs").alias("unit"), F.lit(0).alias("kind"), F.col("x").alias("id"), F.col("xs").alias("s1")).distinct()
     units = scratch.table(units.union(stars.select(F.xxhash64("x", "xs"), F.lit(1), "y", "ys")), thin=True)
     links = scratch.table(open_units(live, units), thin=True)
@@ -456,10 +460,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         if not more.isEmpty():
             found = found.union(more)
             roots = scratch.table(components(found, scratch), thin=True)
-    final = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("root"))
-    out = stats.join(final, ["n", "s1", "s2"], "left")
-    component = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("id")).otherwise(F.col("root"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
+    final = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("root"), "copies")
+    linkable = (F.col("n") > 0) & F.col("id").isNotNull()
+    out = join_groups(stats.where(linkable), final, ["n", "s1", "s2"], "copies", stats.count()).select("id", "n", "root")
+    out = out.union(stats.where(~linkable).select("id", "n", F.col("id").alias("root")))  # without id: null
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").cast("long").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,10 +16,13 @@ from .spans import U64, pack, unpack
 
 #: Keys that a task gathers, at least, before it sends them on.
 GATHERED = 1 << 21
-_NAMES = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("told", pa.int8()), ("names", pa.binary())])
-NAMES = "bucket int, home int, told byte, names binary"
-#: Of a row of names: one document's, as far as the task knows; repeated, for the range; repeated, for the home.
-ONE, MANY, HOME = 0, 1, 2
+#: Bits of a name, the first ones of a key. Names only say which keys may be shared: among 10^13 keys one in twenty that
+#: no other document has passes by chance, which costs work and changes nothing.
+NAME_BITS = 48
+_NAMES = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("one", "homes", "many", "mine"))])
+#: Of a range: names of one document each (as far as the task knows) with their homes, and names of several. And for the
+#: home of the same number: its names that several of the task's documents have.
+NAMES = "bucket int, one binary, homes binary, many binary, mine binary"
 
 
 def gathered(n_buckets: int) -> int:
@@ -27,9 +30,13 @@ def gathered(n_buckets: int) -> int:
     return max(GATHERED, 64 * n_buckets)
 
 
-def ranges(keys: np.ndarray, n: int) -> np.ndarray:
-    """Which of n equal ranges each 64-bit key falls into."""
-    return ((keys >> U64(32)) * U64(n) >> U64(32)).astype(np.int32)
+def ranges(keys: np.ndarray, n: int, bits: int = 64) -> np.ndarray:
+    """Which of n equal ranges each key of so many bits falls into."""
+    return ((keys >> U64(bits - 32)) * U64(n) >> U64(32)).astype(np.int32)
+
+
+def name_of(keys: np.ndarray) -> np.ndarray:
+    return keys >> U64(64 - NAME_BITS)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
@@ -57,11 +64,12 @@ def places_in(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def found_in(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+def found_in(keys: np.ndarray, table: np.ndarray, ascending: bool = False) -> np.ndarray:
     """Whether the sorted table has each key."""
     if not len(table):
         return np.zeros(len(keys), bool)
-    return table[np.minimum(places_in(keys, table), len(table) - 1)] == keys
+    at = np.searchsorted(table, keys) if ascending else places_in(keys, table)
+    return table[np.minimum(at, len(table) - 1)] == keys
 
 
 def by_home(homes: np.ndarray) -> np.ndarray:
@@ -93,48 +101,61 @@ def by_bucket(blobs: DataFrame, schema: str, work, order: tuple[str, ...] = ())
 
 
 def send_names(parts: list[tuple[np.ndarray, int]], n_buckets: int) -> pa.RecordBatch:
-    """(keys, home) of several documents -> rows of NAMES.
+    """(names, home) of several documents -> rows of NAMES, one a range.
 
-    Keys that several of these documents have are repeated whatever others hold: their homes are told directly (the
-    home's number is the bucket then), their range gets one entry.
+    Names that several of these documents have are repeated whatever others hold: their homes are told directly, their
+    range gets one entry.
     """
     names = np.concatenate([p[0] for p in parts])
-    row = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])
     home = np.array([p[1] for p in parts], np.int32)
     order = np.argsort(names)
     names, row = names[order], row[order]
+    del order
     first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
     many = np.minimum.reduceat(row, first) != np.maximum.reduceat(row, first)
-    rows = []
-    for told, at in ((ONE, first[~many]), (HOME, np.flatnonzero(np.repeat(many, np.diff(np.append(first, len(names))))))):
-        # By home and then as sorted: within a home the names ascend, and so do their ranges.
-        at = at[by_home(home[row[at]])]
-        for h, a, e in cuts(home[row[at]]):
-            mine = names[at[a:e]]
-            if told == HOME:
-                rows.append((h, h, told, pack_sorted(np.unique(mine))))
-            else:
-                rows += [(b, h, told, pack_sorted(mine[x:y])) for b, x, y in cuts(ranges(mine, n_buckets))]
+    rows: dict[int, list] = {}
+    at = first[~many]
+    one, of = names[at], home[row[at]].astype(np.uint16 if n_buckets < 1 << 16 else np.int32)
+    for b, x, y in cuts(ranges(one, n_buckets, NAME_BITS)):
+        rows.setdefault(b, [None] * 4)[:2] = pack_sorted(one[x:y]), pack(of[x:y])
     every = names[first[many]]
-    rows += [(b, -1, MANY, pack_sorted(every[x:y])) for b, x, y in cuts(ranges(every, n_buckets))]
-    return batch_of(rows, _NAMES)
+    for b, x, y in cuts(ranges(every, n_buckets, NAME_BITS)):
+        rows.setdefault(b, [None] * 4)[2] = pack_sorted(every[x:y])
+    at = np.flatnonzero(np.repeat(many, np.diff(np.append(first, len(names)))))
+    at = at[by_home(home[row[at]])]
+    for h, x, y in cuts(home[row[at]]):
+        rows.setdefault(h, [None] * 4)[3] = pack_sorted(np.unique(names[at[x:y]]))
+    return batch_of([(b, *row) for b, row in rows.items()], _NAMES)
 
 
 def repeated(entries: DataFrame) -> DataFrame:
-    """Rows of NAMES -> (home, names): for each home the keys of its documents that other documents have too."""
+    """Rows of NAMES -> (home, names): for each home the names of its documents that other documents have too."""
+    wide = partitions(entries.sparkSession) >= 1 << 16
 
     def work(rows):
-        out = [(r["home"], r["names"]) for r in rows if r["told"] == HOME]
-        rows = [r for r in rows if r["told"] != HOME]
-        if rows:
-            parts = [unpack_sorted(r.pop("names")) for r in rows]
-            every = np.sort(np.concatenate(parts))
-            twice = every[1:][every[1:] == every[:-1]]
-            known = np.unique(np.concatenate([twice, *(p for p, r in zip(parts, rows, strict=True) if r["told"] == MANY)]))
-            for p, r in zip(parts, rows, strict=True):
-                if r["told"] == ONE and len(mine := p[found_in(p, known)]):
-                    out.append((r["home"], pack_sorted(mine)))
-        if out:
-            yield batch_of(out, pa.schema([("home", pa.int32()), ("names", pa.binary())]))
+        told: dict[int, list] = {}
+        ones, homes, known = [], [], []
+        for r in rows:
+            if r["mine"] is not None:
+                told.setdefault(r["bucket"], []).append(unpack_sorted(r.pop("mine")))
+            if r["one"] is not None:
+                ones.append(unpack_sorted(r.pop("one")))
+                homes.append(unpack(r.pop("homes"), np.int32 if wide else np.uint16))
+            if r["many"] is not None:
+                known.append(unpack_sorted(r.pop("many")))
+        if ones:
+            every = np.sort(np.concatenate(ones))
+            known.append(every[1:][every[1:] == every[:-1]])
+            del every
+            known = np.unique(np.concatenate(known))
+            for names, of in zip(ones, homes, strict=True):
+                keep = found_in(names, known, True)
+                names, of = names[keep], of[keep]
+                order = by_home(of)
+                for h, x, y in cuts(of[order]):
+                    told.setdefault(h, []).append(names[order[x:y]])
+        if told:
+            yield batch_of([(h, pack_sorted(np.unique(np.concatenate(p)))) for h, p in told.items()], pa.schema([("home", pa.int32()), ("names", pa.binary())]))
 
     return by_bucket(entries, "home int, names binary", work)

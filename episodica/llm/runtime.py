@@ -22,11 +22,18 @@ BATCH_ROWS = 1000
 MAP_BITS = 23
 
 
+#: For Python workers: arrays of a MB and more go back to the system when they are freed, and arenas are few.
+_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package and keep Arrow batches small."""
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
+    """Let Python workers import this package, give memory back, and keep Arrow batches small."""
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(":")
     if ROOT not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
+        environment["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
+    for name, value in _MEMORY.items():
+        environment.setdefault(name, value)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -61,6 +68,8 @@ class Scratch:
             df = df.coalesce(max(min(most, 16), most // 8))
         path = f"{self.path}/{self.made}"
         df.write.parquet(path)
+        if not thin:  # the job's shuffle files go as soon as the driver's collector finds that nobody needs them
+            self.spark.sparkContext._jvm.System.gc()
         made = self.spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
         made._scratch_path = path
         return made
@@ -100,17 +109,26 @@ def _slots(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(U64)) >> U64(64 - MAP_BITS)).astype(np.int64)
 
 
+def picker(spark: SparkSession, bits: np.ndarray, inside: bool, id_col: str = "id"):
+    """batch -> its rows whose id is (or isn't) in the map; rows without id are none of either. For use within a task."""
+    known = spark.sparkContext.broadcast(bits)  # of fixed size
+
+    def pick(batch):
+        have, ids = known.value, batch.column(id_col)
+        slots = _slots(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        keep = ((have[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1) == inside) & ids.is_valid().to_numpy(zero_copy_only=False)
+        return batch.filter(pa.array(keep))
+
+    return pick
+
+
 def picked(docs: DataFrame, bits: np.ndarray, inside: bool, id_col: str = "id") -> DataFrame:
     """The documents whose id is (or isn't) in the map. Rows without id are none of either."""
-    known = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
+    pick = picker(docs.sparkSession, bits, inside, id_col)
 
     def run(batches):
-        have = known.value
         for batch in batches:
-            ids = batch.column(id_col)
-            slots = _slots(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            keep = ((have[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1) == inside) & ids.is_valid().to_numpy(zero_copy_only=False)
-            if keep.any():
-                yield batch.filter(pa.array(keep))
+            if (part := pick(batch)).num_rows:
+                yield part
 
     return docs.mapInArrow(run, docs.schema)

@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .meeting import NAMES, batch_of, by_bucket, cuts, found_in, gathered, pack_sorted, places_in, ranges, repeated, send_names, unpack_sorted
-from .runtime import Scratch, id_map, partitions, picked, prepare
+from .meeting import NAMES, batch_of, by_bucket, cuts, found_in, gathered, name_of, pack_sorted, places_in, ranges, repeated, send_names, unpack_sorted
+from .runtime import Scratch, id_map, partitions, picked, picker, prepare
 from .spans import U64, blocks, mix, powers
 
 LENGTH, CYCLE = 50, 31
@@ -72,7 +72,7 @@ def samples(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     else:
         local = np.arange(len(data)) - np.repeat(offsets[:-1], size)
         places = np.flatnonzero(_SAMPLED[local % CYCLE] & (local + TUPLE <= np.repeat(size, size)))
-    return places, string_hashes(data, places, TUPLE)
+    return places, name_of(string_hashes(data, places, TUPLE))
 
 
 def suspects(data: np.ndarray, offsets: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,13 +90,17 @@ def suspects(data: np.ndarray, offsets: np.ndarray, names: np.ndarray) -> tuple[
     return starts, string_hashes(data, starts, LENGTH)
 
 
-def named(docs: DataFrame, bounds: np.ndarray, n_buckets: int) -> DataFrame:
-    """(id, text) -> names of sampled tuples, to meet."""
+def _as_is(batch):
+    return batch
+
+
+def named(docs: DataFrame, bounds: np.ndarray, n_buckets: int, pick=_as_is) -> DataFrame:
+    """(id, text) -> names of sampled tuples, to meet. pick: which rows of a batch count."""
     gather = gathered(n_buckets)
 
     def run(batches):
         parts, size = [], 0
-        for batch in batches:
+        for batch in map(pick, batches):
             ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
             homes = np.searchsorted(bounds, ids, "right").tolist()
             for at, _, data, offsets in blocks(batch.column("text")):
@@ -139,7 +143,7 @@ class _Home:
         keys, ids = keys[order], ids[order]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         made, owner = keys[first], np.minimum.reduceat(ids, first)
-        new = ~found_in(made, self.keys)
+        new = ~found_in(made, self.keys, True)
         return made[new], owner[new]
 
     def learn(self, keys: np.ndarray, first: np.ndarray, gone: np.ndarray):
@@ -299,11 +303,12 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "text") + ", kept binary")
 
 
-def with_home(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
+def with_home(docs: DataFrame, bounds: np.ndarray, pick=_as_is) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, ids, "right").astype(np.int32)), *batch.columns], ["home", *batch.schema.names])
+        for batch in map(pick, batches):
+            if batch.num_rows:
+                ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, ids, "right").astype(np.int32)), *batch.columns], ["home", *batch.schema.names])
 
     return docs.mapInArrow(run, "home int, " + ", ".join(f"{n} {t}" for n, t in docs.dtypes))
 
@@ -327,11 +332,11 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     # Only absence from the map is sure: a row that is in it goes on too, unless it is one of the copies by id and text.
     stay = scratch.table(picked(rows, maybe, True).join(copies, ["id", "sha"], "left_anti").distinct(), thin=True)
     unsure = picked(source, maybe, True).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256)).join(stay, ["id", "sha"], "left_semi").select("id", "text")
-    firsts = picked(source, maybe, False).union(unsure)
+    sure = picker(spark, maybe, False)
 
     bounds = np.unique(np.array(stats.approxQuantile("id", [k / parts for k in range(1, parts)], 1 / (8 * parts)) if parts > 1 else [], np.float64).astype(np.int64))
-    names = scratch.table(repeated(named(firsts, bounds, parts)))
-    texts = with_home(firsts, bounds)
+    names = scratch.table(repeated(named(source, bounds, parts, sure).union(named(unsure, bounds, parts))))
+    texts = with_home(source, bounds, sure).union(with_home(unsure, bounds))
     none = lambda kind: F.lit(None).cast(kind)
     empty = [none("long").alias("id"), none("string").alias("text"), none("string").alias("sha")]
     known = names.select("home", F.lit(0).alias("kind"), *empty, none("int").alias("number"), none("int").alias("bucket"), F.col("names").alias("data"))
