@@ -22,8 +22,10 @@ BATCH_ROWS = 1000
 MAP_BITS = 23
 
 
-#: For Python workers: arrays of a MB and more go back to the system when they are freed, and arenas are few.
-_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Shuffle files of an execution go at its end: nobody reads them once the table is written.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For Python workers: arrays of 4 MB and more go back to the system when they are freed, and arenas are few.
+_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 22), "MALLOC_TRIM_THRESHOLD_": str(1 << 25), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -67,9 +69,12 @@ class Scratch:
             most = partitions(self.spark)
             df = df.coalesce(max(min(most, 16), most // 8))
         path = f"{self.path}/{self.made}"
-        df.write.parquet(path)
-        if not thin:  # the job's shuffle files go as soon as the driver's collector finds that nobody needs them
-            self.spark.sparkContext._jvm.System.gc()
+        before = self.spark.conf.get(_TIDY, "false")
+        self.spark.conf.set(_TIDY, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_TIDY, before)
         made = self.spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
         made._scratch_path = path
         return made

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .meeting import NAMES, batch_of, by_bucket, cuts, found_in, gathered, name_of, pack_sorted, places_in, ranges, repeated, send_names, unpack_sorted
+from .meeting import NAME_BITS, NAMES, batch_of, by_bucket, cuts, found_in, gathered, name_of, pack_sorted, places_in, ranges, repeated, send_names, unpack_sorted
 from .runtime import Scratch, id_map, partitions, picked, picker, prepare
 from .spans import U64, blocks, mix, powers
 
@@ -42,52 +42,81 @@ LENGTH, CYCLE = 50, 31
 TUPLE = LENGTH - CYCLE + 1
 #: A perfect difference set modulo CYCLE.
 COVER = (0, 1, 3, 8, 12, 18)
-#: Bytes that are hashed at once.
-CHUNK = 1 << 21
+#: Bytes that are hashed at once, of one text and of several.
+CHUNK, BLOCK = 1 << 21, 1 << 17
 _SAMPLED = np.isin(np.arange(CYCLE), COVER)
 
 
-def string_hashes(data: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
-    """The hash of the width bytes at each of the ascending places."""
-    out = np.empty(len(places), U64)
-    for base in range(0, len(data), CHUNK):
-        a, e = np.searchsorted(places, (base, base + CHUNK))
-        if a == e:
-            continue
-        part = data[base : base + CHUNK + width]
-        up, down = powers(len(part) + 1)
-        sums = np.zeros(len(part) + 1, U64)
-        np.cumsum((part.astype(U64) + U64(1)) * up[: len(part)], out=sums[1:])
-        at = places[a:e] - base
-        out[a:e] = mix((sums[at + width] - sums[at]) * down[at])
-    return out
+def _sums(part: np.ndarray) -> np.ndarray:
+    up, _ = powers(len(part) + 1)
+    sums = np.zeros(len(part) + 1, U64)
+    np.cumsum((part.astype(U64) + U64(1)) * up[: len(part)], out=sums[1:])
+    return sums
 
 
-def samples(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Bytes:
+    """The bytes of a block of texts, and the hashes of what stands at any of its places."""
+
+    def __init__(self, data: np.ndarray):
+        self.data, self.sums = data, _sums(data) if len(data) <= CHUNK else None
+
+    def hashes(self, places: np.ndarray, width: int) -> np.ndarray:
+        """The hash of the width bytes at each of the ascending places."""
+        _, down = powers(min(len(self.data), CHUNK + width) + 1)
+        if self.sums is not None:
+            return mix((self.sums[places + width] - self.sums[places]) * down[places])
+        out = np.empty(len(places), U64)
+        for base in range(0, len(self.data), CHUNK):
+            a, e = np.searchsorted(places, (base, base + CHUNK))
+            if a < e:
+                sums, at = _sums(self.data[base : base + CHUNK + width]), places[a:e] - base
+                out[a:e] = mix((sums[at + width] - sums[at]) * down[at])
+        return out
+
+
+def samples(block: Bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, names) of the sampled tuples of a block of texts, in order."""
     size = np.diff(offsets)
     if len(size) == 1:  # may be very long
-        places = np.arange(len(data) // CYCLE + 1)[:, None] * CYCLE + np.array(COVER)
-        places = places[places + TUPLE <= len(data)]
+        places = np.arange(len(block.data) // CYCLE + 1)[:, None] * CYCLE + np.array(COVER)
+        places = places[places + TUPLE <= len(block.data)]
     else:
-        local = np.arange(len(data)) - np.repeat(offsets[:-1], size)
-        places = np.flatnonzero(_SAMPLED[local % CYCLE] & (local + TUPLE <= np.repeat(size, size)))
-    return places, name_of(string_hashes(data, places, TUPLE))
-
-
-def suspects(data: np.ndarray, offsets: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, keys) of the strings of a block of texts that hold a sampled tuple with one of the (sorted) names."""
-    places, own = samples(data, offsets)
-    places = places[found_in(own, names)]
-    edge = np.zeros(len(data) + 1, np.int32)
-    np.add.at(edge, np.maximum(places - CYCLE + 1, offsets[np.searchsorted(offsets, places, "right") - 1]), 1)
-    np.add.at(edge, places + 1, -1)
-    inside = np.cumsum(edge[:-1], dtype=np.int32) > 0
-    inside[np.maximum(len(data) - LENGTH + 1, 0) :] = False
-    starts = np.flatnonzero(inside)
-    ends = offsets[np.searchsorted(offsets, starts, "right")]
-    starts = starts[starts + LENGTH <= ends]
-    return starts, string_hashes(data, starts, LENGTH)
+        cycles = np.maximum(size - TUPLE, -1) // CYCLE + 1
+        first = np.cumsum(cycles) - cycles
+        start = np.arange(cycles.sum()) - np.repeat(first, cycles)
+        places = ((start * CYCLE + np.repeat(offsets[:-1], cycles))[:, None] + np.array(COVER)).ravel()
+        places = places[places + TUPLE <= np.repeat(offsets[1:], cycles * len(COVER))]
+    return places, name_of(block.hashes(places, TUPLE))
+
+
+class Names:
+    """Sorted names, and a table of their first bits that settles most questions."""
+
+    BITS = 22
+
+    def __init__(self, names: np.ndarray):
+        self.names, self.some = names, np.zeros(1 << self.BITS, bool)
+        self.some[(names >> U64(NAME_BITS - self.BITS)).astype(np.int64)] = True
+
+    def has(self, names: np.ndarray) -> np.ndarray:
+        out = self.some[(names >> U64(NAME_BITS - self.BITS)).astype(np.int64)]
+        maybe = np.flatnonzero(out)
+        out[maybe] = found_in(names[maybe], self.names)
+        return out
+
+
+def suspects(data: np.ndarray, offsets: np.ndarray, names: Names) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, keys) of the strings of a block of texts that hold a sampled tuple with one of the names."""
+    block = Bytes(data)
+    places, own = samples(block, offsets)
+    places = places[names.has(own)]
+    edge = np.zeros(len(data) + 1, np.int8)
+    text = np.searchsorted(offsets, places, "right")
+    # Within CYCLE places at most len(COVER) samples of a text and of the next one begin or end: the sums fit.
+    np.add.at(edge, np.maximum(places - CYCLE + 1, offsets[text - 1]), 1)
+    np.add.at(edge, np.minimum(places + 1, np.maximum(offsets[text] - LENGTH + 1, offsets[text - 1])), -1)
+    starts = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8) > 0)
+    return starts, block.hashes(starts, LENGTH)
 
 
 def _as_is(batch):
@@ -103,8 +132,8 @@ def named(docs: DataFrame, bounds: np.ndarray, n_buckets: int, pick=_as_is) -> D
         for batch in map(pick, batches):
             ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
             homes = np.searchsorted(bounds, ids, "right").tolist()
-            for at, _, data, offsets in blocks(batch.column("text")):
-                place, name = samples(data, offsets)
+            for at, _, data, offsets in blocks(batch.column("text"), BLOCK):
+                place, name = samples(Bytes(data), offsets)
                 cut = np.searchsorted(place, offsets)
                 for k, (a, e) in enumerate(itertools.pairwise(cut.tolist())):
                     if a < e:
@@ -131,7 +160,7 @@ class _Home:
 
     def strings(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.names is None:
-            self.names = np.unique(np.concatenate(self.parts)) if self.parts else np.zeros(0, U64)
+            self.names = Names(np.unique(np.concatenate(self.parts)) if self.parts else np.zeros(0, U64))
             self.parts = None
         return suspects(data, offsets, self.names)
 
@@ -194,7 +223,7 @@ def _by_home(batches, gather: int):
                     answers.setdefault(row["number"], {})[row["bucket"]] = row["data"]
             part = batch.slice(z, y - z)
             ids, shas = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64) if z < y else None, part.column("sha").to_pylist()
-            for a, e, data, offsets in blocks(part.column("text")):
+            for a, e, data, offsets in blocks(part.column("text"), BLOCK):
                 starts, keys = state.strings(data, offsets)
                 cut = np.searchsorted(starts, offsets)
                 weight = held.size + np.cumsum(np.diff(cut) + np.diff(offsets) // 8)  # by text, whatever block it came in
