@@ -8,7 +8,8 @@ hashes (with fewer words, the whole sequence). Sets link where 100 * intersectio
    What is left is written once, as sorted hashes; texts aren't read again.
    Documents with equal sets are one from here on (the one with the least id); they link by definition.
 2. Grouping: sets that share a min-hash key are held against the key's first set, exactly. Linked sets are a group;
-   a large group is cut into blocks of about BLOCK sets.
+   a large group is cut into blocks of about BLOCK sets. Sets without a link are grouped by their first min-hash key and
+   size: alike, though not linked, as far as is known. Of such loose blocks all pairs of sets are still open.
 3. The matrix: among the sets that are left each shingle's number of sets is counted, exactly. Of each set the first
    n - ceil(0.75 n) + DEPTH shingles, rare ones first, are entries (token, set), and the first n - ceil(6/7 n) + DEPTH are
    marked as enough against sets that aren't smaller. Shingles that one set has stand first and need no entry. Entries
@@ -18,10 +19,11 @@ hashes (with fewer words, the whole sequence). Sets link where 100 * intersectio
    out in tiles of TILE by TILE blocks.
 5. Open: of each candidate pair of blocks the one with more sets is opened, once for all its pairs. A set of another
    block whose overlap with the opened block's whole union is less than three quarters of its size is dismissed; the
-   others are held against the members, exactly. First the likeliest partner of each block, then what is left between
-   groups that are still apart.
+   others are held against the members, exactly. First the likeliest partner of each block of linked sets, then what is
+   left between groups that are still apart, and the loose blocks, each against itself too.
 
-No step lists pairs within a group: a group of any size is tied together by links to its first set. Passages that many
+No step lists pairs within a group: a group of any size is tied together by links to its first set, and loose sets are
+compared inside of opened blocks. Passages that many
 documents share come last in the order, so they are no entries unless a set consists of little else.
 
 Null, empty or blank texts have empty sets and link with nothing. Rows with one id count as one document; rows without
@@ -272,11 +274,12 @@ def block_pairs(cells_of: DataFrame) -> DataFrame:
     """Cells by token and tile -> (x, y, shared and what is known of both): pairs of blocks of different groups that share tokens.
 
     A cell is (token, tile, chunk, tiles of two chunks, few, block and its l: least and h: greatest set size, r: root,
-    c: number of sets, low and high: sizes of the sets that have the token). x is of the group with the greater root.
+    c: number of sets, f: 1 if loose, low and high: sizes of the sets that have the token). x is of the group with the
+    greater root; a loose block is a group of its own here.
     A token counts if it is one of the few of either.
     """
     parts = partitions(cells_of.sparkSession)
-    known = ("block", "l", "h", "r", "c")
+    known = ("block", "l", "h", "r", "c", "f")
     names = [f"{s}{k}" for s in "xy" for k in ("", *known[1:])] + ["shared"]
     schema = pa.schema([(c, pa.int64()) for c in names])
 
@@ -289,9 +292,9 @@ def block_pairs(cells_of: DataFrame) -> DataFrame:
             return out
 
         def add(rows):
-            root, low, high, few, chunk = (np.array([r[j] for r in rows], np.int64) for j in (3, 5, 6, 7, 8))
-            one, two = rows[0][9], rows[0][10]
-            infos = [tuple(r[:5]) for r in rows]
+            root, low, high, few, chunk = (np.array([r[j] for r in rows], np.int64) for j in (3, 6, 7, 8, 9))
+            one, two = rows[0][10], rows[0][11]
+            infos = [tuple(r[:6]) for r in rows]
             for i in range(len(root)):
                 fits = (root < root[i]) & (3 * low <= 4 * high[i]) & (3 * low[i] <= 4 * high) & (few | few[i] > 0)
                 if one != two:  # pairs within a chunk are counted by the chunk's own tile
@@ -328,24 +331,29 @@ def tiled(cells_of: DataFrame) -> DataFrame:
     return cells_of.select("*", F.explode(both).alias("t")).select("*", "t.one", "t.two", (F.col("t.one").cast("long") * F.col("chunks") + F.col("t.two")).alias("tile")).drop("t", "chunks")
 
 
+#: Kinds of rows of a unit: members of a loose block, members that are linked, queries, queries that are members too.
+LOOSE, LINKED, QUERY, OWN = -1, 0, 1, 2
+
+
 def opened(rows: DataFrame) -> DataFrame:
-    """Sets that link, among rows (unit, kind, id, n, tokens): members (kind 0) of each unit against its queries (kind 1).
+    """Sets that link, among rows (unit, kind, id, n, tokens): members of each unit against its queries.
 
     A unit's members are held as a group with the union of their tokens; queries stream past. A query whose overlap
-    with the union is too small is dismissed; otherwise members are tried until one links, which is all that its
-    component needs.
+    with the union is too small is dismissed; otherwise it is held against the members: against all of a loose block, of
+    linked ones until one links, which is all that its component needs.
     """
 
     def run(batches):
-        now, members, union = None, [], None
+        now, members, union, loose = None, [], None, False
         for batch in batches:
             found_a, found_b = [], []
             for unit, kind, doc_id, n, tokens in zip(*(batch.column(c).to_pylist() for c in ("unit", "kind", "id", "n", "tokens")), strict=True):
                 if unit != now:
-                    now, members, union = unit, [], None
+                    now, members, union, loose = unit, [], None, False
                 tokens = unpack_sorted(tokens)
-                if kind == 0:
+                if kind <= LINKED:
                     members.append((doc_id, n, tokens))
+                    loose = kind == LOOSE
                     continue
                 if not members:
                     continue
@@ -354,10 +362,13 @@ def opened(rows: DataFrame) -> DataFrame:
                 if len(members) > 1 and 4 * int(found_in(tokens, union, True).sum()) < 3 * n:
                     continue
                 for other, m, theirs in members:
+                    if kind == OWN and other >= doc_id:
+                        break  # members come by id: the pair is the other one's to find
                     if 3 * m <= 4 * n and 3 * n <= 4 * m and linked(int(found_in(tokens, theirs, True).sum()), n, m):
                         found_a.append(doc_id)
                         found_b.append(other)
-                        break
+                        if not loose:
+                            break
             if found_a:
                 yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
 
@@ -367,10 +378,10 @@ def opened(rows: DataFrame) -> DataFrame:
 def open_units(live: DataFrame, units: DataFrame) -> DataFrame:
     """units (unit, kind, id, s1) -> links (a, b). A unit with many queries is dealt over several tasks, each with all members."""
     parts = partitions(live.sparkSession)
-    fan = units.where("kind = 1").groupBy("unit").agg(F.ceil(F.count("*") / 256).cast("int").alias("fan"))
+    fan = units.where(F.col("kind") >= QUERY).groupBy("unit").agg(F.ceil(F.count("*") / 256).cast("int").alias("fan"))
     units = units.join(fan, "unit")
-    members = units.where("kind = 0").select("unit", "kind", "id", "s1", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"))
-    queries = units.where("kind = 1").select("unit", "kind", "id", "s1", F.pmod(F.xxhash64("id"), F.col("fan")).cast("int").alias("part"))
+    members = units.where(F.col("kind") <= LINKED).select("unit", "kind", "id", "s1", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"))
+    queries = units.where(F.col("kind") >= QUERY).select("unit", "kind", "id", "s1", F.pmod(F.xxhash64("id"), F.col("fan")).cast("int").alias("part"))
     wanted = members.union(queries).select(F.xxhash64("unit", "part").alias("unit"), "kind", "id", "s1")
     rows = live.join(wanted, ["id", "s1"]).select("unit", "kind", "id", "n", "tokens")
     return opened(rows.repartition(parts, "unit").sortWithinPartitions("unit", "kind", "id"))
@@ -427,35 +438,41 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     deal = lambda df: df.repartitionById(parts, F.col("home")).sortWithinPartitions("home", "kind", "id", "s1")
     told = answer(ask(deal(mine), parts)).select("home", F.lit(0), none("long"), none("long"), none("long"), "number", "bucket", "levels")
     token_rows = shared_entries(entries(deal(mine.union(told)), parts))
-    info = live.groupBy(F.col("id").alias("rep")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    info = info.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "low", "high", F.coalesce("root", "rep").alias("r"))
+    info = live.groupBy(F.col("id").alias("rep")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.col("keys")[0]).alias("key"))
+    info = info.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("f", F.col("root").isNull().cast("int"))
+    step = F.floor(F.log(F.col("high")) / math.log(4 / 3))
+    info = info.select("rep", "low", "high", "f", F.when(F.col("f") == 1, F.xxhash64("key", step)).otherwise(F.col("root")).alias("r"))
     split = F.ceil(F.col("members") / BLOCK).cast("int")
-    block = F.when(split == 1, F.col("r")).otherwise(F.xxhash64("r", F.pmod(F.xxhash64("rep"), split)))
-    info = scratch.table(info.join(info.groupBy("r").agg(F.count("*").alias("members")), "r").select("rep", "low", "high", "r", block.alias("block")), thin=True)
+    block = F.when((split == 1) & (F.col("f") == 0), F.col("r")).otherwise(F.xxhash64("r", "f", F.pmod(F.xxhash64("rep"), split)))
+    info = info.join(info.groupBy("r", "f").agg(F.count("*").alias("members")), ["r", "f"]).withColumn("block", block)
+    info = scratch.table(info.select("rep", "low", "high", "f", F.when(F.col("f") == 1, F.col("block")).otherwise(F.col("r")).alias("r"), "block"), thin=True)
     whole = info.groupBy("block").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.count("*").alias("c"))
-    cells_of = token_rows.join(info.join(whole, "block"), "rep").groupBy("token", "block").agg(*(F.first(c).alias(c) for c in "lhrc"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("few").alias("few"))
+    cells_of = token_rows.join(info.join(whole, "block"), "rep").groupBy("token", "block").agg(*(F.first(c).alias(c) for c in "lhrcf"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("few").alias("few"))
     found = block_pairs(tiled(scratch.table(cells_of)))
-    sides = [f"{s}{k}" for s in "xy" for k in ("", *"lhrc")]
+    sides = [f"{s}{k}" for s in "xy" for k in ("", *"lhrcf")]
     pairs = found.groupBy(*sides).agg(F.sum("shared").alias("shared")).where(may_link("x", "y"))
-    pairs = scratch.table(pairs.select("x", "y", "xr", "yr", "xc", "yc", "shared"), thin=True)
+    pairs = scratch.table(pairs.select("x", "y", "xr", "yr", "xc", "yc", (F.col("xf") + F.col("yf") == 0).alias("tied"), "shared"), thin=True)
 
-    # Open: first the likeliest partner of each block, then all that is left between groups still apart.
-    found, sets_of = links, live.select(F.col("id").alias("rep"), "s1").join(info.select("rep", "block"), "rep")
+    # Open: first the likeliest partner of each block of linked sets, then all that is left.
+    found, sets_of = links, live.select(F.col("id").alias("rep"), "s1").join(info.select("rep", "block", "f"), "rep")
+    alone = info.where("f = 1").groupBy("block").count().where("count > 1").select(F.col("block").alias("query"), F.col("block").alias("unit"))
     for last in (False, True):
-        todo = pairs
         if last:
             now = roots.select(F.col("node").alias("r"), "root")
             todo = pairs.join(now.select(F.col("r").alias("xr"), F.col("root").alias("xq")), "xr", "left").join(now.select(F.col("r").alias("yr"), F.col("root").alias("yq")), "yr", "left")
-            todo = todo.where(F.coalesce("xq", "xr") != F.coalesce("yq", "yr"))
+            todo = todo.where(~F.col("tied") | (F.coalesce("xq", "xr") != F.coalesce("yq", "yr")))
         else:
-            todo = pairs.groupBy("x").agg(F.max_by(F.struct("y", "xc", "yc"), F.struct("shared", "y")).alias("best")).select("x", "best.*")
+            todo = pairs.where("tied").groupBy("x").agg(F.max_by(F.struct("y", "xc", "yc"), F.struct("shared", "y")).alias("best")).select("x", "best.*")
         # The block with more sets is the unit: its members are read once, however many blocks are held against it.
         query, unit = (F.when(F.col("xc") > F.col("yc"), F.col(p)).otherwise(F.col(q)) for p, q in ("yx", "xy"))
-        todo = scratch.table(todo.select(query.alias("query"), unit.alias("unit")), thin=True)
+        todo = todo.select(query.alias("query"), unit.alias("unit"))
+        todo = scratch.table(todo.union(alone) if last else todo, thin=True)
         if todo.isEmpty():
-            break
-        queries = todo.join(sets_of.withColumnRenamed("block", "query"), "query").select("unit", F.lit(1).alias("kind"), F.col("rep").alias("id"), "s1")
-        members = todo.select("unit").distinct().join(sets_of.withColumnRenamed("block", "unit"), "unit").select("unit", F.lit(0).alias("kind"), F.col("rep").alias("id"), "s1")
+            continue
+        kind = F.when(F.col("query") == F.col("unit"), OWN).otherwise(QUERY)
+        queries = todo.join(sets_of.withColumnRenamed("block", "query"), "query").select("unit", kind.alias("kind"), F.col("rep").alias("id"), "s1")
+        kind = F.when(F.col("f") == 1, LOOSE).otherwise(LINKED)
+        members = todo.select("unit").distinct().join(sets_of.withColumnRenamed("block", "unit"), "unit").select("unit", kind.alias("kind"), F.col("rep").alias("id"), "s1")
         more = scratch.table(open_units(live, scratch.table(members.union(queries), thin=True)), thin=True)
         if not more.isEmpty():
             found = found.union(more)

@@ -97,18 +97,11 @@ def test_flac_and_media(docs):
     assert [b.sample_offset for b in blocks] == [1000 * k for k in range(len(blocks))]
 
 
-def test_jaccard(spark, docs):
+def brute_components(made):
     def shingles(t):
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
         return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
-    rng, made = random.Random(4), list(ROWS)
-    passage = sentence(56, rng)
-    made += [(100 + k, passage + " " + sentence(k % 24 + 1, rng)) for k in range(60)]
-    for k in range(40):
-        w = BASE.split()
-        w[rng.randrange(200)] = f"v{k}"
-        made.append((200 + k, " ".join(w)))
     sets = [(i, shingles(t)) for i, t in made]
     parent = {i: i for i, _ in sets if i is not None}
 
@@ -122,8 +115,25 @@ def test_jaccard(spark, docs):
             if i is not None and j is not None and a and b and 100 * len(a & b) >= 75 * len(a | b):
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
-    want = sorted(((i, len(s), None if i is None else root(i)) for i, s in sets), key=str)
-    assert rows(jaccard_join.jaccard_components(spark.createDataFrame(made, "doc_id long, text string"))) == want
+    return sorted(((i, len(s), None if i is None else root(i)) for i, s in sets), key=str)
+
+
+def test_jaccard(spark, docs):
+    rng, made = random.Random(4), list(ROWS)
+    passage = sentence(56, rng)
+    made += [(100 + k, passage + " " + sentence(k % 24 + 1, rng)) for k in range(60)]
+    for k in range(40):
+        w = BASE.split()
+        w[rng.randrange(200)] = f"v{k}"
+        made.append((200 + k, " ".join(w)))
+    assert rows(jaccard_join.jaccard_components(spark.createDataFrame(made, "doc_id long, text string"))) == brute_components(made)
+    # Loose sets that share most of a passage, more than fit in one block, some of which link.
+    common, rng = sentence(70, rng), random.Random(8)
+    made = [(k, common + " " + sentence(24 + k % 7, rng)) for k in range(300)]
+    for k in range(0, 60, 2):
+        w = made[k][1].split()
+        made.append((1000 + k, " ".join(w[: len(w) - 3 - k % 5])))
+    assert rows(jaccard_join.jaccard_components(spark.createDataFrame(made, "doc_id long, text string"))) == brute_components(made)
     kept = {r.doc_id for r in jaccard_join.keep_one(docs).collect()}
     assert kept == {None, 1, 4, 5, 6, 7, 9, 10, 11, 12, 13, 14}
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
