@@ -1,9 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Texts are case-folded for ASCII and read as bytes, so an n-gram of characters is one of UTF-8 bytes; n-grams of 1 to 4
-bytes are hashed into 2**BITS buckets. The matrix of log probabilities (bucket x language) is broadcast; a batch is
-scored by adding the rows of its n-grams. Training takes at most TRAIN_DOCS labelled documents, as many of each
-language, chosen by a hash of their id and text: a bound that keeps the fit on the driver small at any input size.
+Texts are case-folded; n-grams of 1 to 4 characters are hashed into 2**BITS buckets. The matrix of log probabilities
+(bucket x language) is broadcast; a batch is scored by adding the rows of its n-grams. Training takes at most TRAIN_DOCS
+labelled documents of at most TRAIN_BYTES, as many of each language, chosen by a hash of their id and language: a bound
+that keeps the fit on the driver small at any input size.
 """
 
 from __future__ import annotations
@@ -11,39 +11,24 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .runtime import id_crc32, prepare
-from .spans import LOWER, blocks
+from .spans import blocks, character_grams, characters
 
 BITS, SIZES = 16, (1, 2, 3, 4)
-TRAIN_DOCS = 4000
+TRAIN_DOCS, TRAIN_BYTES = 4000, 1 << 16
 UNKNOWN = "und"
 
 
-def features(data: np.ndarray, n: int) -> np.ndarray:
-    """Bucket numbers of all n-grams of the bytes, one for each place."""
-    size = len(data) - n + 1
-    if size <= 0:
-        return np.zeros(0, np.int32)
-    if n == 1:
-        code = data.astype(np.uint32)
-    else:
-        code = data[:size].astype(np.uint32)
-        for j in range(1, n):
-            code = (code << np.uint32(8)) | data[j : j + size]
-    code = (code + np.uint32(n)) * np.uint32(0x9E3779B1)
-    code ^= code >> np.uint32(15)
-    code *= np.uint32(0x85EBCA77)
-    return (code >> np.uint32(32 - BITS)).astype(np.int32)
-
-
 def sums(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each text the sum of its n-grams' rows of the table (n-grams never cross texts), and their number."""
+    chars, offsets = characters(data, offsets, True)
     rows, lengths = len(offsets) - 1, np.diff(offsets)
     total, count = np.zeros((rows, table.shape[1])), np.zeros(rows, np.int64)
     for n in SIZES:
-        found = features(data, n)
+        found = character_grams(chars, n, BITS)
         ends = np.maximum(offsets[1:] - n + 1, offsets[:-1])
         count += ends - offsets[:-1]
         if not len(found):
@@ -68,8 +53,9 @@ class Model:
         counts = np.ones((1 << BITS, max(1, len(languages))))
         for k, language in enumerate(languages):
             for _, _, data, offsets in blocks(pa.array([t for lang, t in rows if lang == language], pa.large_string())):
+                chars, offsets = characters(data, offsets, True)
                 for n in SIZES:
-                    found, cut = features(LOWER[data], n), np.ones(len(data), bool)
+                    found, cut = character_grams(chars, n, BITS), np.ones(len(chars), bool)
                     for j in range(1, n):
                         cut[np.maximum(offsets[1:] - j, 0)[offsets[1:] - j >= 0]] = False
                     counts[:, k] += np.bincount(found[cut[: len(found)]], minlength=1 << BITS)
@@ -81,7 +67,7 @@ class Model:
 
         The probability is that of a typical hundred n-grams of the text, so that it doesn't run to 1 with length.
         """
-        total, count = sums(LOWER[data], offsets, self.table)
+        total, count = sums(data, offsets, self.table)
         logs = total + self.prior
         best = logs.argmax(1)
         logs /= np.maximum(1.0, count / 100.0)[:, None]
@@ -99,8 +85,12 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     share = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row a language
     each = max(1, most // max(1, len(share)))
     draw = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30)).cast("double") / (1 << 30)
-    chance = F.create_map(*[F.lit(x) for lang, n in share.items() for x in (lang, min(1.0, each / n))]) if share else None
-    sample = rows.where(draw < F.element_at(chance, F.col("lang"))).select("lang", "text").limit(2 * most).collect() if share else []
+    chance = F.create_map(*[F.lit(x) for lang, n in share.items() for x in (lang, min(1.0, 1.5 * each / n))]) if share else None
+    sample = []
+    if share:
+        some = rows.where((draw < F.element_at(chance, F.col("lang"))) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES))
+        nth = F.row_number().over(W.partitionBy("lang").orderBy(draw, "id", "text"))  # over some 1.5 times the bound
+        sample = some.withColumn("nth", nth).where(F.col("nth") <= each).select("lang", "text").collect()
     return Model.fit([(r[0], r[1] or "") for r in sorted(sample, key=lambda r: (r[0], r[1] or ""))], share)
 
 

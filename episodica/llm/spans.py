@@ -69,6 +69,52 @@ def runs(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _folding() -> np.ndarray:
+    """The simple case folding of each character that has one of the same length; all others are their own."""
+    table = np.arange(0x1E944, dtype=np.uint32)
+    for k in range(0x1E944):
+        if len(low := chr(k).casefold()) == 1:
+            table[k] = ord(low)
+    return table
+
+
+def characters(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(characters, offsets counted in characters) of a block of UTF-8 texts, case-folded if wanted."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(lead) == len(data):
+        chars = data.astype(np.uint32)
+    else:
+        near = np.zeros(len(data) + 3, np.uint32)
+        near[: len(data)] = data
+        chars = near[lead]
+        for low, high, more, bits in ((0xC0, 0xE0, 1, 0x1F), (0xE0, 0xF0, 2, 0x0F), (0xF0, 0x100, 3, 0x07)):
+            at = np.flatnonzero((chars >= low) & (chars < high) & (data[lead] >= low))
+            code = chars[at] & bits
+            for j in range(1, more + 1):
+                code = code << np.uint32(6) | near[lead[at] + j] & 0x3F
+            chars[at] = code
+    if fold:
+        if "fold" not in _POWERS:
+            _POWERS["fold"] = _folding()
+        known = np.flatnonzero(chars < len(_POWERS["fold"])) if len(lead) < len(data) else slice(None)
+        chars[known] = _POWERS["fold"][chars[known]]
+    return chars, np.searchsorted(lead, offsets)
+
+
+def character_grams(chars: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The bucket, of 2**bits, of each n consecutive characters; one for each place."""
+    size = len(chars) - n + 1
+    if size <= 0:
+        return np.zeros(0, np.int32)
+    code = chars[:size] + np.uint32(n)
+    for j in range(1, n):
+        code = code * np.uint32(0x01000193) + chars[j : j + size]
+    code = code * np.uint32(0x9E3779B1)
+    code ^= code >> np.uint32(15)
+    code *= np.uint32(0x85EBCA77)
+    return (code >> np.uint32(32 - bits)).astype(np.int32)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit."""
     x = x ^ (x >> U64(30))
