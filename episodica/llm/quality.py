@@ -1,8 +1,9 @@
 """Quality classifier: supervised subword embeddings, trained by stochastic gradient descent in numpy.
 
 A document is the mean of learned vectors of its hashed words (runs of dark bytes, with their case) and of its n-grams
-of 3 and 4 bytes; a softmax layer follows. At most TRAIN_DOCS labelled documents are used, chosen by a hash of their
-id: a bound that keeps the fit on the driver small at any input size. Since the mean is linear, a trained model is
+of 3 and 4 characters; a softmax layer follows. Each step goes down the gradient of the cross-entropy, vectors by VECTOR_RATE
+times the rate of the layer, since the mean spreads their gradient over all features of a document. At most TRAIN_DOCS
+labelled documents of at most TRAIN_BYTES are used, chosen by a hash of their id: a bound that keeps the fit on the driver small at any input size. Since the mean is linear, a trained model is
 folded into one number a bucket for scoring, and buckets that training never met count nothing.
 """
 
@@ -14,26 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import id_crc32, prepare
-from .spans import DARK_BYTES, blocks, hash_runs, runs
+from .spans import DARK_BYTES, blocks, character_grams, characters, hash_runs, runs
 
 BITS, SIZES, DIM = 18, (3, 4), 8
-TRAIN_DOCS, EPOCHS, RATE, SEED = 3000, 6, 4.0, 7
+TRAIN_DOCS, TRAIN_BYTES, EPOCHS, RATE, VECTOR_RATE, SEED = 3000, 1 << 16, 6, 1.0, 40.0, 7
 THRESHOLD = 0.3
 
 
-def grams(data: np.ndarray, n: int) -> np.ndarray:
-    size = len(data) - n + 1
-    if size <= 0:
-        return np.zeros(0, np.int32)
-    code = data[:size].astype(np.uint32)
-    for j in range(1, n):
-        code = (code << np.uint32(8)) | data[j : j + size]
-    code = (code + np.uint32(n)) * np.uint32(0x9E3779B1)
-    code ^= code >> np.uint32(15)
-    code *= np.uint32(0x85EBCA77)
-    return (code >> np.uint32(32 - BITS)).astype(np.int32)
-
-
 def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = runs(data, offsets, DARK_BYTES)
     return (hash_runs(data, starts, ends) >> np.uint64(64 - BITS)).astype(np.int32), first
@@ -41,7 +29,7 @@ def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def buckets(data: np.ndarray) -> np.ndarray:
     """All features of one text."""
-    return np.concatenate([word_buckets(data, np.array([0, len(data)]))[0], *(grams(data, n) for n in SIZES)])
+    return np.concatenate([word_buckets(data, np.array([0, len(data)]))[0], *(character_grams(characters(data, np.array([0, len(data)]))[0], n, BITS) for n in SIZES)])
 
 
 class Model:
@@ -49,7 +37,7 @@ class Model:
         self.vectors, self.weights, self.bias, self.met = vectors, weights, bias, met
 
     @classmethod
-    def fit(cls, rows: list[tuple[int, str]], epochs: int = EPOCHS, rate: float = RATE) -> Model:
+    def fit(cls, rows: list[tuple[int, str]], epochs: int = EPOCHS, rate: float = RATE, vector_rate: float = VECTOR_RATE) -> Model:
         """rows: (label 0 or 1, text). Without rows every score is one half."""
         rng = np.random.default_rng(SEED)
         vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
@@ -71,9 +59,9 @@ class Model:
                 wrong[label] -= 1
                 pace = np.float32(rate * (1 - done / steps))
                 back = wrong @ weights
-                weights -= pace * 0.25 * np.outer(wrong, mean)
+                weights -= pace * np.outer(wrong, mean)
                 bias -= pace * 0.02 * wrong
-                vectors[found] -= pace * np.minimum(share * 50, 1)[:, None] * back
+                vectors[found] -= pace * vector_rate * share[:, None] * back
                 done += 1
         return cls(vectors, weights, bias, met)
 
@@ -94,9 +82,10 @@ def scores(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, base: float
 
     found, first = word_buckets(data, offsets)
     add(table[found], first[:-1], first[1:])
+    chars, offsets = characters(data, offsets)
     for n in SIZES:
         low, high = offsets[:-1], np.maximum(offsets[1:] - n + 1, offsets[:-1])
-        add(table[grams(data, n)], low, high)
+        add(table[character_grams(chars, n, BITS)], low, high)
     return 1 / (1 + np.exp(-(base + total / np.maximum(count, 1))))
 
 
@@ -105,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (id_crc32("id") % 5 != 0))
     chosen = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
     chosen = F.broadcast(chosen)  # at most so many rows of two numbers
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(chosen, "id").select("id", "label", "text").limit(2 * most).collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES).join(chosen, "id").groupBy("id").agg(F.first("label").alias("label"), F.min("text").alias("text")).collect()
     return Model.fit([(r.label, r.text) for r in sorted(rows, key=lambda r: (r.id, r.text))])
 
 
