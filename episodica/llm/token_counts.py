@@ -1,10 +1,10 @@
 """Token counts of whole texts, equal to one call of the tokenizers library on each.
 
-Two means keep that affordable. Ordinary texts are cut at stable boundaries (white space after anything else: the
-byte-level pattern never matches across, and no added token holds a blank), and the library's count of each piece is
-kept, as most pieces recur. Huge texts are encoded by the library in overlapping chunks with offsets: two chunks are
-spliced at an offset inside their overlap where both have a token boundary and the text has a stable boundary; if no
-such offset exists, the overlap is widened, up to the rest of the text.
+A text of more than one chunk is encoded by the library in overlapping chunks with offsets: two chunks are spliced at
+an offset inside their overlap where both have a token boundary and the text has a stable boundary (white space after
+anything else: the byte-level pattern never matches across, and no added token holds a blank); if no such offset
+exists, the overlap is widened, and then the chunk is doubled, up to the rest of the text. A text of one chunk is cut at its
+stable boundaries alone, and the library's count of each piece is kept, as most pieces recur.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 
 from .runtime import prepare
 
-#: Texts of more characters are huge; the characters of a chunk, and of the first overlap.
-HUGE_CHARS, CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 15, 256
+#: The characters of a chunk, and of the first overlap.
+CHUNK_CHARS, OVERLAP_CHARS = 1 << 13, 256
 #: Pieces whose counts are kept by a worker. Beyond, pieces are counted without being kept.
 KEPT_PIECES = 400_000
 _STABLE = re.compile(r"(?<=\S)(?=[ \n])")
@@ -64,14 +64,14 @@ def count_huge(text: str, coder, chunk: int = CHUNK_CHARS, overlap: int = OVERLA
     starts = [a for a, _ in coder.encode(text[at:end], add_special_tokens=False).offsets]
     while end < len(text):
         low = max(at, end - size)
-        after = min(len(text), end + chunk)
+        after = min(len(text), end + (chunk if end - at <= chunk else end - at))
         nexts = [low + a for a, _ in coder.encode(text[low:after], add_special_tokens=False).offsets]
         cut = splice(text, starts, nexts, low, end - 1)
         if cut is None:
             if low > at:
                 size *= 2  # a wider overlap
                 continue
-            end = after  # the overlap is the whole chunk: take more text as one chunk
+            end = after  # the overlap is the whole chunk: take twice the text as one chunk
             starts = nexts
             continue
         total += int(np.searchsorted(starts, cut))
@@ -88,7 +88,7 @@ class Counter:
     def counts(self, texts: list[str]) -> list[int]:
         kept, cut, new = self.kept, [], {}
         for text in texts:
-            cut.append(None if len(text) > HUGE_CHARS else stable_pieces(text))
+            cut.append(None if len(text) > CHUNK_CHARS else stable_pieces(text))
             if cut[-1]:
                 for piece in cut[-1]:
                     if piece not in kept:
