@@ -56,8 +56,24 @@ def feature(samples: np.ndarray) -> str:
     return f"n={n};sum={total};energy={int((samples * samples).sum())};min={int(samples.min(initial=0))};max={int(samples.max(initial=0))};cross={int((above[1:] != above[:-1]).sum())}"
 
 
+def cut_pcm(samples: np.ndarray, block: int) -> list[tuple[int, bytes, int]]:
+    """(sample offset, signed bytes, crc32) of each PCM block."""
+    pcm = [samples[s : s + block].astype(np.int8).tobytes() for s in range(0, len(samples), block)]
+    return [(k * block, x, zlib.crc32(x)) for k, x in enumerate(pcm)]
+
+
+def join_pcm(blocks: list[tuple[int, bytes, int]]) -> np.ndarray:
+    """The samples of blocks in order; a gap or a block that doesn't fit its checksum fails."""
+    at = 0
+    for offset, pcm, crc in blocks:
+        if offset != at or zlib.crc32(pcm) != crc:
+            raise ValueError(f"PCM block at sample {offset} is damaged or out of place")
+        at += len(pcm)
+    return np.frombuffer(b"".join(pcm for _, pcm, _ in blocks), np.int8).astype(np.int64)
+
+
 def read_media(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Decode streams and digest what they hold: one row a stream, with its checked samples' features.
+    """Decode streams to PCM blocks and digest what those hold: one row a stream, with its checked samples' features.
 
     Columns: id_col, carry, payload_bytes, payload_sha256, tail_crc32 (of the last 16 bytes), media_bytes, media_sha256,
     feature. A null stream gives nulls; a damaged one fails the job, since its content can't be known.
@@ -73,6 +89,7 @@ def read_media(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "me
             live = [k for k, s in enumerate(streams) if s is not None]
             for a, b in groups([streams[k] for k in live]):
                 for k, samples in zip(live[a:b], flac.decode([streams[k] for k in live[a:b]]), strict=True):
+                    samples = join_pcm(cut_pcm(samples, BLOCK_SAMPLES))
                     raw = (samples + 128).astype(np.uint8).tobytes()
                     rows[k] = (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(streams[k]), hashlib.sha256(streams[k]).hexdigest(), feature(samples))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -94,10 +111,9 @@ def pcm_blocks(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "me
             for doc_id, stream in zip(ids, streams, strict=True):
                 if stream is None:
                     continue
-                samples = flac.decode([stream])[0].astype(np.int8)
-                starts = list(range(0, len(samples), block))
-                pcm = [samples[s : s + block].tobytes() for s in starts]
-                made = {id_col: [doc_id] * len(starts), "block_no": list(range(len(starts))), "sample_offset": starts, "n_samples": [len(x) for x in pcm], "pcm": pcm, "crc32": [zlib.crc32(x) for x in pcm]}
+                cut = cut_pcm(flac.decode([stream])[0], block)
+                starts, pcm, crcs = ([c[j] for c in cut] for j in range(3))
+                made = {id_col: [doc_id] * len(cut), "block_no": list(range(len(cut))), "sample_offset": starts, "n_samples": [len(x) for x in pcm], "pcm": pcm, "crc32": crcs}
                 yield pa.RecordBatch.from_arrays([pa.array(made[id_col], batch.schema.field(id_col).type), *(pa.array(made[c], pa.int64()) for c in ("block_no", "sample_offset", "n_samples")), pa.array(pcm, pa.binary()), pa.array(made["crc32"], pa.int64())], list(made))
 
     return media.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {kind}, block_no long, sample_offset long, n_samples long, pcm binary, crc32 long")

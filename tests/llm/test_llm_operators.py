@@ -60,6 +60,23 @@ def test_decontamination(spark, docs):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_queries_of_contracts(spark, tmp_path):
+    """op2, op3, op4 and op10 as registered, against the libraries, text by text."""
+    from episodica.llm import queries
+
+    data = [(i, t, "en", "s", len(t or "")) for i, t in ROWS if i is not None]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    coder = bpe_codec.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    ids = lambda t: coder.encode_ordinary(t or "")
+    want = sorted((i, len(ids(t)), hashlib.sha256(struct.pack(f"<{len(ids(t))}I", *ids(t))).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in data)
+    assert rows(queries.op2_bpe_codec(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) == sorted(want, key=str)
+    fast = token_counts.tokenizer(P.path("byte_bpe_50k.json"))
+    want = [(i, len((t or "").encode()), len(fast.encode(t or "", add_special_tokens=False))) for i, t, *_ in data]
+    assert rows(queries.op3_token_counts(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_tokens")) == sorted(want, key=str)
+    want = [(i, len((t or "").encode()), len(media.payload(t)), hashlib.sha256(media.payload(t)).hexdigest(), zlib.crc32(media.payload(t)[-16:])) for i, t, *_ in data]
+    assert rows(queries.op4_media_columns(spark, str(tmp_path)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")) == sorted(want, key=str)
+
+
 def test_bpe_round_trip(docs):
     out = bpe_codec.encode_decode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
     assert sorted((bytes(r.decoded) for r in out)) == sorted((t or "").encode() for _, t in ROWS)
@@ -74,6 +91,10 @@ def test_token_counts(docs):
     out = token_counts.count_tokens(docs, path, 512).collect()
     assert sorted((str(r.doc_id), r.n_tokens) for r in out) == sorted((str(i), len(coder.encode(t or "", add_special_tokens=False))) for i, t in ROWS)
     rng = random.Random(2)
+    long = ["x" * 30_000, sentence(6000), "é" * 20_000 + " " + sentence(4000), ("word\n" * 9000), "ab  \n " * 5000]
+    df = docs.sparkSession.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, path, 512).collect()} == {k: len(coder.encode(t, add_special_tokens=False)) for k, t in enumerate(long)}
+    assert token_counts.count_tokens(docs.limit(0), path, 512).count() == 0
     for _ in range(150):
         text = "".join(rng.choice("ab .\n\té1<|endoftext|>") for _ in range(400))
         assert token_counts.count_huge(text, coder, 60, 4) == len(coder.encode(text, add_special_tokens=False))
@@ -95,6 +116,12 @@ def test_flac_and_media(docs):
     assert {r.payload_sha256 for r in out} == want and len(out) == len(ROWS)
     blocks = media.pcm_blocks(media.to_media(docs), block=1000).where("doc_id = 10").orderBy("block_no").collect()
     assert [b.sample_offset for b in blocks] == [1000 * k for k in range(len(blocks))]
+    one = next(r for r in out if r.n_bytes == len(ROWS[11][1].encode()))
+    stored = media.payload(ROWS[11][1])
+    assert (one.tail_crc32, one.payload_bytes) == (zlib.crc32(stored[-16:]), len(stored))
+    with pytest.raises(ValueError):
+        media.join_pcm([(0, b"ab", zlib.crc32(b"ab")), (3, b"c", zlib.crc32(b"c"))])
+    assert media.read_media(media.to_media(docs.limit(0)), carry=("n_bytes",)).count() == 0
 
 
 def brute_components(made):
