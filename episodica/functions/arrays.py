@@ -153,3 +153,78 @@ def soft_weights(start: int, end: int, total: int) -> list[float]:
 def weighted_sum(a) -> Column:
     """Sum of i * x with i from 1: a digest in which order counts."""
     return F.aggregate(F.transform(col(a), lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+
+
+def prefix_postfix_masks(prefix, postfix) -> tuple[Column, Column]:
+    """(attention: 0 on the prefix and 1 behind, loss: false and true) of a prompt and its answer."""
+    prefix, postfix = col(prefix), col(postfix)
+    both = lambda a, b: F.concat(F.array_repeat(F.lit(a), prefix), F.array_repeat(F.lit(b), postfix))
+    return both(0, 1), both(False, True)
+
+
+def prefix_mask(n: int, delay) -> Column:
+    """Which steps are committed already: those before the delay."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: k < col(delay))
+
+
+def position_ids(valid) -> Column:
+    """The running number of valid tokens, from 0; -1 before the first."""
+    valid = col(valid)
+    return F.transform(valid, lambda _, i: F.size(F.filter(F.slice(valid, F.lit(1), i + 1), lambda x: x)) - 1)
+
+
+def remap_tokens(tokens, vocabulary: int, skip: int) -> Column:
+    """Tokens counted from the end of a vocabulary, its last `skip` ones left out; its own inverse."""
+    return F.transform(col(tokens), lambda t: F.lit(vocabulary - 1 - skip) - t)
+
+
+def decode_bins(tokens, steps: int, dims: int, bins: int) -> Column:
+    """steps x dims values in [-1, 1] from bin numbers; zeros if there are too few, the surplus is left out."""
+    t = col(tokens)
+    rows = F.array(*[F.transform(F.slice(t, k * dims + 1, dims), lambda x: x / F.lit(float(bins)) * 2 - 1) for k in range(steps)])
+    return F.when(F.size(t) < steps * dims, F.array_repeat(F.array_repeat(F.lit(0.0), dims), steps)).otherwise(rows)
+
+
+def quantize(a, levels: Sequence[int]) -> Column:
+    """For each dimension which of its levels tanh(x) is nearest to."""
+    n = F.array(*[F.lit(x) for x in levels])
+    return F.transform(col(a), lambda x, i: F.rint((F.tanh(x) + 1) * (F.get(n, i) - 1) / 2).cast("int"))
+
+
+def dequantize(digits, levels: Sequence[int]) -> Column:
+    n = F.array(*[F.lit(x) for x in levels])
+    return F.transform(col(digits), lambda d, i: d / (F.get(n, i) - 1).cast("double") * 2 - 1)
+
+
+def sincos(position, dim: int, shortest: float, longest: float) -> Column:
+    """dim / 2 sines and as many cosines, with periods in geometric steps."""
+    half = dim // 2
+    if dim % 2:
+        raise ValueError("the number of features must be even")
+    rates = [2 * 3.141592653589793 / (shortest * (longest / shortest) ** (k / max(1, half - 1))) for k in range(half)]
+    angles = F.transform(doubles(rates), lambda w: w * col(position))
+    return F.concat(F.transform(angles, F.sin), F.transform(angles, F.cos))
+
+
+def bytes_affine(a) -> Column:
+    """0 to 255 as -1 to 1."""
+    return F.transform(col(a), lambda x: x / F.lit(255.0) * 2 - 1)
+
+
+#: Fixed values of the gripper maps: linear travel, arm and horn of the linkage, and the ranges of the angle.
+TRAVEL, ARM, HORN, ANGLE, ROBOT_ANGLE = (0.01844, 0.05800), 0.036, 0.022, (0.5476, 1.6296), (-0.6213, 1.4910)
+
+
+def gripper_to_angle(x) -> Column:
+    """An opening from 0 to 1 of linear travel as the share of the angle's range."""
+    reach = col(x) * (TRAVEL[1] - TRAVEL[0]) + TRAVEL[0]
+    sine = (reach * reach + (HORN**2 - ARM**2)) / (reach * (2 * HORN))
+    return (F.asin(F.least(F.greatest(sine, F.lit(-1.0)), F.lit(1.0))) - ANGLE[0]) / (ANGLE[1] - ANGLE[0])
+
+
+def gripper_from_angle(x) -> Column:
+    return (col(x) + (ANGLE[0] - ROBOT_ANGLE[0])) / (ROBOT_ANGLE[1] - ROBOT_ANGLE[0])
+
+
+def gripper_from_angle_inverse(x) -> Column:
+    return col(x) * (ROBOT_ANGLE[1] - ROBOT_ANGLE[0]) + (ROBOT_ANGLE[0] - ANGLE[0])

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .sampling import running
+
 
 def number(df: DataFrame, episode: str, order: list[str], out: str = "frame") -> DataFrame:
     """Frames counted from 0 within each episode."""
@@ -32,8 +34,7 @@ def adjacent_diff(df: DataFrame, episode: str, frame: str, value: str, out: str
 
 def episode_ranges(df: DataFrame, episode: str, length: str) -> DataFrame:
     """[index_from, index_to) of each episode in one global numbering. One row an episode goes in."""
-    total = F.sum(length).over(W.orderBy(episode))
-    return df.withColumn("index_to", total).withColumn("index_from", total - F.col(length))
+    return running(df, [F.col(episode)], length, "index_from").withColumn("index_to", F.col("index_from") + F.col(length))
 
 
 def time_ok(time, frame, fps: float, atol: float, rtol: float = 0.0) -> Column:
@@ -59,6 +60,25 @@ def probe_frames(n: str, horizon: int) -> Column:
 
 
 def take_until(df: DataFrame, order: list[Column], length: str, target: float) -> DataFrame:
-    """Whole episodes in the given order until the target is reached; the one that crosses it is included."""
-    before = F.sum(length).over(W.orderBy(*order)) - F.col(length)
-    return df.withColumn("__before", before).where(F.col("__before") < target).drop("__before")
+    """Whole episodes in the given order until the target is reached; the one that crosses it is included. All of them must reach it."""
+    total = df.agg(F.sum(length)).first()[0] or 0
+    if total < target:
+        raise ValueError(f"all episodes together have {total}, less than {target}")
+    return running(df, order, length, "__before").where(F.col("__before") < target).drop("__before")
+
+
+def tail_padding(chunk: str, frame: str, n: str, horizon: int) -> tuple[Column, Column]:
+    """(how many steps of a chunk lie past the end, whether its last two are equal as they then must be)."""
+    steps = F.greatest(F.lit(0), F.col(frame) + horizon - F.col(n)).cast("int")
+    return steps, F.element_at(chunk, -1).eqNullSafe(F.element_at(chunk, -2))
+
+
+def seam_jump(chunk: str, before: Column, joints: list[int]) -> Column:
+    """The greatest step of a joint from the state before a chunk of vectors to its first one."""
+    first = F.get(chunk, F.lit(0))
+    return F.array_max(F.array(*[F.abs(F.get(first, F.lit(j)) - F.get(before, F.lit(j))) for j in joints]))
+
+
+def chunk_step(row: Column, horizon: int) -> tuple[Column, Column]:
+    """(which chunk, which step of it) serves a request when chunks are asked for one after the other."""
+    return F.floor(row / horizon), row % horizon

@@ -92,10 +92,10 @@ def test_sampling(spark):
     assert [(r.id, r.batch) for r in sampling.batches(df, "id", 2, 1, 2).orderBy("batch", "id").collect()] == [x for x in whole if x[1] >= 2]
     parts = [{r.id for r in sampling.rank_rows(df, "id", 2, k).collect()} for k in range(2)]
     assert parts[0] | parts[1] == set(range(10)) and not parts[0] & parts[1]
-    mixed = sampling.mixture({"a": df, "b": df}, {"a": 0.9, "b": 0.1}, 2000, 3)
+    mixed = sampling.mixture({"a": df, "b": df}, {"a": 0.9, "b": 0.1}, 2000, 3, "id")
     assert 0.86 < mixed.where("source = 'a'").count() / 2000 < 0.94
     with pytest.raises(ValueError):
-        sampling.mixture({"a": df}, {"a": 0.5}, 1, 1)
+        sampling.mixture({"a": df}, {"a": 0.5}, 1, 1, "id")
 
 
 def test_every_oracle_has_a_query():
