@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from .runtime import prepare
 
 #: The characters of a chunk, and of the first overlap.
-CHUNK_CHARS, OVERLAP_CHARS = 1 << 13, 256
+CHUNK_CHARS, OVERLAP_CHARS = 1 << 14, 256
 #: Pieces whose counts are kept by a worker. Beyond, pieces are counted without being kept.
 KEPT_PIECES = 400_000
 _STABLE = re.compile(r"(?<=\S)(?=[ \n])")
