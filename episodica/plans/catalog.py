@@ -531,8 +531,7 @@ def d05_norm_stats(read):
     """Statistics of 50 future steps relative to the current state, by step; quantiles from histograms of 5000 bins."""
     e = frames.future_chunk(events_frames(read), "user_id", "frame", "value", 50)
     d = e.select(F.posexplode(F.transform("chunk", lambda x: x - F.col("value"))).alias("step", "x"))
-    s = d.groupBy("step").agg(F.count("*").alias("n"), *stats.moments("x"))
-    s = s.join(F.broadcast(stats.histogram_quantiles(d, "step", "x", {"q01": 0.01, "q99": 0.99})), "step")  # a row a step
+    s = stats.histogram_quantiles(d, "step", "x", {"q01": 0.01, "q99": 0.99}, also=[F.count("*").alias("n"), *stats.moments("x")])
     return s.select("step", "n", *[r(c, 6).alias(c) for c in ("mean", "std", "q01", "q99")])
 
 
