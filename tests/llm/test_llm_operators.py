@@ -9,7 +9,7 @@ import pytest
 
 P = pytest.importorskip("public_tokenizers")
 
-from episodica.llm import bpe_codec, decontaminate, flac, jaccard_join, langid, media, meeting, pii, quality, runtime, suffix_dedup, token_counts, token_output  # noqa: E402
+from episodica.llm import bpe_codec, decontaminate, flac, jaccard_join, langid, media, meeting, pii, quality, runtime, spans, suffix_dedup, token_counts, token_output  # noqa: E402
 
 SCHEMA = "doc_id long, text string, n_tokens string, score string"
 RNG = random.Random(11)
@@ -178,6 +178,48 @@ def test_language(spark):
     assert [r.lang_pred for r in langid.identify(df.limit(1), langid.train(empty)).collect()] == ["und"]
 
 
+def folded(text):
+    return [ord(c.casefold()) if len(c.casefold()) == 1 else ord(c) for c in text]
+
+
+def grams_of(codes, sizes, bits):
+    for n in sizes:
+        for k in range(len(codes) - n + 1):
+            yield int(spans.character_grams(np.array(codes[k : k + n], np.uint32), n, bits)[0])
+
+
+def test_language_and_quality_against_brute_force(spark):
+    texts = ["Schöne GRÜSSE aus Köln", "the quick brown fox", "日本語のテキスト", "Привет МИР", "a😀b", "", "é", "12"]
+    data = [(k, texts[k % 4] + f" {k}", ("de", "en", "ja", "ru")[k % 4]) for k in range(80)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    rows_of = [(900 + k, t, None, "clash") for k, t in enumerate(texts)] + [(900, texts[0], None, "again"), (990, None, None, "clash")]
+    asked = spark.createDataFrame(rows_of, "doc_id long, text string, lang string, score string")
+    got = sorted((r.doc_id, r.lang_pred, r.score) for r in langid.identify(asked, model).collect())
+    want = []
+    for i, t, *_ in rows_of:
+        if not any(map(str.isalpha, t or "")):
+            want.append((i, "und", 0.0))
+            continue
+        found = list(grams_of(folded(t), langid.SIZES, langid.BITS))
+        logs = model.prior + sum(model.table[f].astype(float) for f in found)
+        odds = np.exp((logs - logs.max()) / max(1.0, len(found) / 100))
+        want.append((i, model.languages[int(logs.argmax())], float(odds.max() / odds.sum())))
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)] and [x[2] for x in got] == pytest.approx([x[2] for x in sorted(want)], rel=1e-4)
+
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, quality int")
+    model = quality.train(df, labels)
+    table, base = model.folded()
+    got = sorted((r.doc_id, r.score) for r in quality.score(asked, model).collect())
+    want = []
+    for i, t, *_ in rows_of:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        found = [int(x) for x in quality.word_buckets(raw, np.array([0, len(raw)]))[0]] + list(grams_of([ord(c) for c in t or ""], quality.SIZES, quality.BITS))
+        want.append((i, 1 / (1 + np.exp(-(base + sum(float(table[f]) for f in found) / max(1, len(found)))))))
+    assert [x[0] for x in got] == [x[0] for x in sorted(want)] and [x[1] for x in got] == pytest.approx([x[1] for x in sorted(want)], rel=1e-4)
+    assert quality.score(asked.limit(0), model).count() == langid.identify(asked.limit(0), langid.train(df)).count() == 0
+
+
 def test_quality(spark):
     data = [(k, sentence(40) if k % 3 else " ".join(w + "$$$" for w in sentence(40).split())) for k in range(400)]
     df = spark.createDataFrame([*data, (999, None)], "doc_id long, text string")
