@@ -329,3 +329,20 @@ def test_pipeline(spark, tmp_path):
     coder = bpe_codec.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     assert list(out[1].token_ids) == coder.encode_ordinary(BASE)
     assert b"[EMAIL]" in coder.decode_bytes(list(out[14].token_ids))
+
+
+def test_empty_tables_and_rows_without_id(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, data in (("none", []), ("odd", [(None, BASE, "en", "s", 1), (None, None, None, None, None), (3, BASE, "en", "s", 1), (3, BASE, "en", "s", 1), (4, None, None, None, None)])):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        assert bpe_codec.encode_decode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == len(data)
+        assert pii.find_pii(docs).count() == pii.redact(docs).count() == len(data)
+        files, _ = token_output.token_files(docs, P.path("word_bpe_49k.json"), 2)
+        assert token_output.read_digests(files).count() == len(data)
+        assert suffix_dedup.dedup(docs).count() == jaccard_join.jaccard_components(docs).count() == len(data)
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert sorted(str(r.doc_id) for r in out) == ([] if not data else ["3", "None"])
