@@ -477,6 +477,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         if not more.isEmpty():
             found = found.union(more)
             roots = scratch.table(components(found, scratch), thin=True)
+    scratch.keep(every, roots)
     final = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("root"), "copies")
     linkable = (F.col("n") > 0) & F.col("id").isNotNull()
     out = join_groups(stats.where(linkable), final, ["n", "s1", "s2"], "copies", stats.count()).select("id", "n", "root")

@@ -81,6 +81,13 @@ class Scratch:
         made._scratch_path = path
         return made
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Drop all but these tables: what is made from here on reads no other."""
+        kept = {t._scratch_path for t in tables}
+        for path in (f"{self.path}/{k}" for k in range(1, self.made + 1)):
+            if path not in kept:
+                remove(self.spark, path)
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             remove(self.spark, table._scratch_path)
