@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def moments(x, prefix: str = "") -> list[Column]:
     """Mean and population deviation from sums, a negative variance counting as 0."""
@@ -19,21 +21,22 @@ def explode_dims(df: DataFrame, keys: list[str], array: str) -> DataFrame:
 def histogram_quantiles(df: DataFrame, key: str, x: str, quantiles: dict[str, float], bins: int = 5000, widen: float = 1e-10, also: list[Column] = ()) -> DataFrame:
     """For each key the left edge of the first of `bins` bins at which the running count reaches q * n.
 
-    Two passes: ranges first (one row a key), then counts by bin. The last bin is closed. also: further aggregates that
-    the first pass takes along.
+    Two passes: ranges first (one row a key, written once), then counts by bin. The last bin is closed. also: further
+    aggregates that the first pass takes along. Ranges are joined from the outer side: Spark takes an exploded df for as
+    small as the file that it comes from, and an inner join would let it broadcast all of it.
     """
     from pyspark.sql import Window as W
 
     first = df.groupBy(key).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"), *also)
-    ranges = first.withColumns({"__lo": F.col("__lo") - widen, "__hi": F.col("__hi") + widen})
-    placed = df.select(key, x).join(ranges.select(key, "__lo", "__hi"), key)
+    ranges = written(first.where(F.col(key).isNotNull()).withColumns({"__lo": F.col("__lo") - widen, "__hi": F.col("__hi") + widen}), "ranges")
+    placed = df.where(F.col(key).isNotNull()).select(key, x).join(ranges.select(key, "__lo", "__hi"), key, "left")
     place = F.least(F.lit(bins - 1), F.floor((F.col(x) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins)).cast("int")
     counts = placed.withColumn("__bin", place).groupBy(key, "__bin", "__lo", "__hi").agg(F.count("*").alias("__n"))
     by = W.partitionBy(key).orderBy("__bin")
     counts = counts.withColumn("__run", F.sum("__n").over(by)).withColumn("__all", F.sum("__n").over(W.partitionBy(key)))
     edge = F.col("__lo") + F.col("__bin") * ((F.col("__hi") - F.col("__lo")) / bins)
     found = counts.groupBy(key).agg(*[F.min(F.when(F.col("__run") >= q * F.col("__all"), edge)).alias(name) for name, q in quantiles.items()])
-    return found.join(ranges.drop("__lo", "__hi"), key) if also else found
+    return found.join(ranges.drop("__lo", "__hi"), key, "left") if also else found
 
 
 def extremum(value: str, row: str, dim: Column | None = None) -> Column:

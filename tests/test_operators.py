@@ -85,6 +85,19 @@ def test_statistics(spark):
     assert q == pytest.approx(edges[np.searchsorted(np.cumsum(counts), 250)], abs=1e-9)
 
 
+def test_histogram_ranges_are_what_is_broadcast(spark):
+    d = spark.range(400).select(F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda k: k * F.col("id") / 7)).alias("step", "x"))
+    d = d.select(F.when(F.col("step") < 49, F.col("step")).alias("step"), "x")  # a key that is null goes
+    out = stats.histogram_quantiles(d, "step", "x", {"q": 0.25}, also=[F.count("*").alias("n")])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan  # all rows are on the left
+    rows = {r.step: (r.q, r.n) for r in out.collect()}
+    assert set(rows) == set(range(49)) and {n for _, n in rows.values()} == {400}
+    x = np.arange(400) * 3 / 7
+    counts, edges = np.histogram(x, 5000, (x.min() - 1e-10, x.max() + 1e-10))
+    assert rows[2][0] == pytest.approx(edges[np.searchsorted(np.cumsum(counts), 100)], abs=1e-9)
+
+
 def test_sampling(spark):
     df = spark.range(10)
     whole = [(r.id, r.batch) for r in sampling.batches(df, "id", 2, 1).orderBy("batch", "id").collect()]
