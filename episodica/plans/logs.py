@@ -60,14 +60,19 @@ def s22_synthetic(read):
 LINE = "concat('{\"step\":', event_id, ',\"train/loss\":', value, ',\"opt\":{\"lr\":', user_id, '}}')"
 
 
+#: A log rolls over after so many lines. A line of LINE has at most 120 bytes, so a file has a fifth of readers.MAX_BYTES at most.
+LOG_LINES = 50_000
+
+
 def metric_files(read, tail: str = '{"step":'):
-    """One log for each event type: an object a line, a broken line, a blank one, and a last one that isn't ended."""
-    e = read("events").select("event_type", "event_id", F.expr(LINE).alias("line"))
+    """One log for each event type: an object a line, in files that rolled over, and the file that grows: a broken line, a blank one, and a last one that isn't ended."""
+    e = read("events").select("event_type", "event_id", F.expr(LINE).alias("value"))
     spark = e.sparkSession
     path = new_path(spark, "metric-logs")
-    bodies = e.groupBy("event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("body"))  # a log of the fixture
-    whole = bodies.select(F.concat("body", F.lit("\n{broken\n\n" + tail)).alias("value"), "event_type")
-    whole.write.partitionBy("event_type").option("lineSep", "\x00").text(path)
+    ordered = e.where("value is not null").repartitionByRange("event_type", "event_id").sortWithinPartitions("event_type", "event_id").select("value", "event_type")
+    ordered.write.partitionBy("event_type").option("maxRecordsPerFile", LOG_LINES).text(path)
+    growing = e.select("event_type").distinct().select(F.lit("{broken\n\n" + tail).alias("value"), "event_type")
+    growing.write.mode("append").partitionBy("event_type").option("lineSep", "\x00").text(path)
     return spark.read.text(path, wholetext=True).select(F.col("event_type").alias("path"), F.regexp_replace("value", "\x00$", "").alias("text"))
 
 

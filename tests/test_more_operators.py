@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from episodica.functions import text as X
 from episodica.operators import records, sampling, stats
 from episodica.operators import transforms as TR
+from episodica.plans import catalog, logs
 from episodica.sources import readers, writers
 from episodica.sources.scratch import new_path
 from episodica.streaming import windows
@@ -115,6 +116,20 @@ def test_metric_files(spark):
         readers.trainer_state(spark.createDataFrame([("f", "{}")], "path string, text string")).collect()
 
 
+@pytest.fixture(scope="module")
+def long_log(spark, tmp_path_factory):
+    """Events of one type whose log has more bytes than one file may have."""
+    path, of = str(tmp_path_factory.mktemp("long-log")), F.col("id") + 10**15
+    e = spark.range(400_000).select(of.alias("event_id"), of.alias("user_id"), F.lit("view").alias("event_type"), ((F.col("id") + 1) / 7).alias("value"))
+    e.write.parquet(f"{path}/events.parquet")
+    assert e.agg(F.sum(F.octet_length(F.expr(logs.LINE)))).first()[0] > readers.MAX_BYTES
+    return path
+
+
+def test_a_log_tail_beyond_the_size_of_a_file(spark, long_log):
+    assert [tuple(r) for r in catalog.QUERIES["r01_log_tail"](spark, long_log).collect()] == [("view", 400_000)]
+
+
 def test_writers_refuse(spark):
     path = new_path(spark, "test")
     df = spark.range(3)
