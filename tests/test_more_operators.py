@@ -130,6 +130,14 @@ def test_a_log_tail_beyond_the_size_of_a_file(spark, long_log):
     assert [tuple(r) for r in catalog.QUERIES["r01_log_tail"](spark, long_log).collect()] == [("view", 400_000)]
 
 
+def test_a_metric_file_beyond_the_size_of_a_file(spark, long_log):
+    rows = catalog.QUERIES["s11_metric_file"](spark, long_log)
+    good = rows.where("not invalid").join(spark.read.parquet(f"{long_log}/events.parquet"), F.col("step") == F.col("event_id"))
+    same = (F.col("path") == "view") & (F.col("loss") == F.col("value")) & (F.col("lr") == F.col("user_id").cast("double"))
+    assert tuple(good.agg(F.count("*"), F.count_if(same)).first()) == (400_000, 400_000)
+    assert [tuple(r) for r in rows.where("invalid").collect()] == [("view", None, None, None, True)] * 2
+
+
 def test_writers_refuse(spark):
     path = new_path(spark, "test")
     df = spark.range(3)
