@@ -138,6 +138,10 @@ def test_a_metric_file_beyond_the_size_of_a_file(spark, long_log):
     assert [tuple(r) for r in rows.where("invalid").collect()] == [("view", None, None, None, True)] * 2
 
 
+def test_lenient_lines_beyond_the_size_of_a_file(spark, long_log):
+    assert [tuple(r) for r in catalog.QUERIES["s12_lenient_lines"](spark, long_log).collect()] == [("view", 400_000, 10**15 + 399_999)]
+
+
 def test_writers_refuse(spark):
     path = new_path(spark, "test")
     df = spark.range(3)
