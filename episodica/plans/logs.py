@@ -57,23 +57,27 @@ def s22_synthetic(read):
 
 
 # --- Text sources ---------------------------------------------------------------------------------------------------
-LINE = "concat('{\"step\":', event_id, ',\"train/loss\":', value, ',\"opt\":{\"lr\":', user_id, '}}')"
+LINE = "concat('{\"step\":', coalesce(string(event_id), 'null'), ',\"train/loss\":', coalesce(string(value), 'null'), ',\"opt\":{\"lr\":', coalesce(string(user_id), 'null'), '}}')"
 
 
 #: A log rolls over after so many lines. A line of LINE has at most 120 bytes, so a file has a fifth of readers.MAX_BYTES at most.
 LOG_LINES = 50_000
 
 
-def metric_files(read, tail: str = '{"step":'):
-    """One log for each event type: an object a line, in files that rolled over, and the file that grows: a broken line, a blank one, and a last one that isn't ended."""
+def metric_logs(read, tail: str = '{"step":') -> str:
+    """One log for each event type: an object a line, in files that rolled over (and were packed), and the file that grows: a broken line, a blank one, and a last one that isn't ended."""
     e = read("events").select("event_type", "event_id", F.expr(LINE).alias("value"))
-    spark = e.sparkSession
-    path = new_path(spark, "metric-logs")
-    ordered = e.where("value is not null").repartitionByRange("event_type", "event_id").sortWithinPartitions("event_type", "event_id").select("value", "event_type")
-    ordered.write.partitionBy("event_type").option("maxRecordsPerFile", LOG_LINES).text(path)
+    path = new_path(e.sparkSession, "metric-logs")
+    ordered = e.repartitionByRange("event_type", "event_id").sortWithinPartitions("event_type", "event_id").select("value", "event_type")
+    ordered.write.partitionBy("event_type").option("maxRecordsPerFile", LOG_LINES).option("compression", "gzip").text(path)
     growing = e.select("event_type").distinct().select(F.lit("{broken\n\n" + tail).alias("value"), "event_type")
     growing.write.mode("append").partitionBy("event_type").option("lineSep", "\x00").text(path)
-    return spark.read.text(path, wholetext=True).select(F.col("event_type").alias("path"), F.regexp_replace("value", "\x00$", "").alias("text"))
+    return path
+
+
+def metric_files(read, tail: str = '{"step":'):
+    files = read("events").sparkSession.read.text(metric_logs(read, tail), wholetext=True)
+    return files.select(F.col("event_type").alias("path"), F.regexp_replace("value", "\x00$", "").alias("text"))
 
 
 @query("SELECT event_type AS path, event_id AS step, value AS loss, user_id::DOUBLE AS lr, false AS invalid FROM events UNION ALL SELECT DISTINCT event_type, NULL, NULL, NULL, true FROM events UNION ALL SELECT DISTINCT event_type, NULL, NULL, NULL, true FROM events")

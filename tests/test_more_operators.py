@@ -138,6 +138,19 @@ def test_a_metric_file_beyond_the_size_of_a_file(spark, long_log):
     assert [tuple(r) for r in rows.where("invalid").collect()] == [("view", None, None, None, True)] * 2
 
 
+@pytest.fixture
+def gaps(spark, tmp_path):
+    """Events without a value or a user."""
+    rows = [(1, 7, "view", 0.5), (2, 7, "view", None), (3, None, "view", 1.5), (4, 8, "click", None)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_a_metric_file_keeps_lines_without_a_value(spark, gaps):
+    rows = catalog.QUERIES["s11_metric_file"](spark, gaps).where("not invalid").orderBy("step").collect()
+    assert [tuple(r) for r in rows] == [("view", 1, 0.5, 7.0, False), ("view", 2, None, 7.0, False), ("view", 3, 1.5, None, False), ("click", 4, None, 8.0, False)]
+
+
 def test_lenient_lines_beyond_the_size_of_a_file(spark, long_log):
     assert [tuple(r) for r in catalog.QUERIES["s12_lenient_lines"](spark, long_log).collect()] == [("view", 400_000, 10**15 + 399_999)]
 
