@@ -155,6 +155,20 @@ def test_lenient_lines_beyond_the_size_of_a_file(spark, long_log):
     assert [tuple(r) for r in catalog.QUERIES["s12_lenient_lines"](spark, long_log).collect()] == [("view", 400_000, 10**15 + 399_999)]
 
 
+def test_lenient_lines_of_one_file_beyond_the_limit_of_metric_files(spark, long_log, monkeypatch):
+    monkeypatch.setattr(logs, "LOG_LINES", 10**6)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        assert [tuple(r) for r in catalog.QUERIES["s12_lenient_lines"](spark, long_log).collect()] == [("view", 400_000, 10**15 + 399_999)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_lenient_lines_keep_events_without_a_value(spark, gaps):
+    assert {tuple(r) for r in catalog.QUERIES["s12_lenient_lines"](spark, gaps).collect()} == {("view", 3, 3), ("click", 1, 4)}
+
+
 def test_writers_refuse(spark):
     path = new_path(spark, "test")
     df = spark.range(3)
